@@ -1,8 +1,9 @@
-"""Parquet tables of a dataset folder, and the shared checkpoint folder."""
+"""Parquet tables of a dataset folder, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/claimloom-{spark.sparkContext.applicationId}"
 
-    The folder is the session's ``spark.checkpoint.dir``; a local folder is set
-    only where that is unset (single machine, tests). The files survive the loss
-    of executors, which ``localCheckpoint`` would not.
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage for tables with several readers. The files survive the loss
+    of executors, and keep columns prunable, which a checkpoint would not.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
