@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import lookalike
+from claimloom.llm import lookalike, siteline
 from claimloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(lookalike.meant_words(table(spark, sf_dir, "source_anchors"), "anchor_id", "matched_via"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat over a dossier's documents."""
+    return siteline.repeated_lines(table(spark, sf_dir, "spans"), table(spark, sf_dir, "dossier_documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
