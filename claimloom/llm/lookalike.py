@@ -7,7 +7,7 @@ are settled character by character. Letters of several scripts are settled per
 token: the sets of scripts in which each letter can be spelt (its own and those
 of its look-alikes) are intersected over the token. One script left: a mixed
 token is respelt in it. Several left: a whole-script look-alike, spelt in the
-script that prevails among the text's letters that have no look-alike. None
+script that prevails among the line's letters that have no look-alike. None
 left: every letter that has one takes its Latin look-alike. All three choices
 depend on the look only, never on the code points met.
 
@@ -34,6 +34,7 @@ CLASSES = (
     "aаα cсϲ dԁ eе gցɡ hһհ iіι jјϳ lӏ nո oоοօσ pрρ qԛզ sѕ uυս vνѵ wԝѡ xх yуγү ʙв ᴋкκ ᴍм ᴛтτ"
 ).split()
 SAME_SIGN = {"µ": "μ", "Ω": "Ω", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ſ": "s"}
+USUAL = "АВСЕНІЈКМОРЅТХУасеіјорѕухгквмтΑΒΕΗΙΚΜΝΟΡΤΧΥΖαγικνορσυτ"
 HYPHENS = "‐‑﹣－"
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 JOINED = "ĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"
@@ -80,49 +81,76 @@ def script(ch: str) -> str:
     return next((s for s in SCRIPTS if regex.match(rf"\p{{{s}}}", ch)), "Other")
 
 
-def _respell(text: str) -> str:
-    """The decomposed ``text`` with each token in the script that fits it."""
+def _respell(line: str) -> str:
+    """The decomposed ``line`` with each token in the script that fits it."""
     spelt = _tables()[1]
-    sure = Counter(script(ch) for ch in text if ch not in spelt and ch.isalpha())
+    sure = Counter(script(ch) for ch in line if ch not in spelt and ch.isalpha())
     order = sorted(SCRIPTS, key=lambda s: (-sure[s], SCRIPTS.index(s)))
 
     def token(m: regex.Match) -> str:
         letters = m[0]
         if letters.isascii() and order[0] == "Latin":
             return letters
-        fits = set(SCRIPTS)
+        fits, usual = set(SCRIPTS), set(SCRIPTS)
         for ch in letters:
-            if ch in spelt:
-                fits &= spelt[ch].keys()
-            elif ch.isalpha():
-                fits &= {script(ch)}
-        to = next((s for s in order if s in fits), "")
+            if ch.isalpha():
+                fits &= spelt[ch].keys() if ch in spelt else {script(ch)}
+                usual &= {s for s, x in spelt[ch].items() if s == "Latin" or x in USUAL} if ch in spelt else {script(ch)}
+        to = next((s for s in order if s in fits and (s in usual or "Latin" not in fits)), "")
         return "".join(spelt[ch].get(to) or spelt[ch].get("Latin", ch) if ch in spelt else ch for ch in letters)
 
-    return TOKEN.sub(token, text)
+    return TOKEN.sub(token, line)
 
 
 def one_form(text: str | None) -> str | None:
-    """``text`` in the one form of its look; null stays null, "" stays ""."""
+    """``text`` in the one form of its look; null stays null, "" stays "".
+
+    The context of a token is its line.
+    """
     if text is None:
         return None
     if text.isascii():
         return text.replace("\t", " ")
     text = unicodedata.normalize("NFD", text.translate(_tables()[0]))
     if FOREIGN.search(text):
-        text = _respell(text)
+        text = "\n".join(map(_respell, text.split("\n")))
     return unicodedata.normalize("NFC", text)
 
 
+def skeleton(text: str | None) -> str | None:
+    """As ``one_form``, but with every look-alike letter as its Latin one.
+
+    Not meant for reading: words of any language compare equal in any context.
+    """
+    if text is None or text.isascii():
+        return one_form(text)
+    text = unicodedata.normalize("NFD", text.translate(_tables()[0]))
+    return unicodedata.normalize("NFC", text.translate(_latin()))
+
+
+@lru_cache(maxsize=None)
+def _latin() -> dict[int, str]:
+    return {ord(ch): by.get("Latin", ch) for ch, by in _tables()[1].items()}
+
+
 @F.pandas_udf(T.StringType())
 def _one_form(texts: pd.Series) -> pd.Series:
     return texts.map(one_form, na_action="ignore")
 
 
-def looks(text: Column) -> Column:
-    """``one_form`` as a column; texts of ASCII only never leave the JVM."""
+@F.pandas_udf(T.StringType())
+def _skeleton(texts: pd.Series) -> pd.Series:
+    return texts.map(skeleton, na_action="ignore")
+
+
+def looks(text: Column, bare: bool = False) -> Column:
+    """``one_form``, or if ``bare`` ``skeleton``, as a column.
+
+    Texts of ASCII only never leave the JVM.
+    """
     plain = text.rlike(r"^\p{ASCII}*$")
-    return F.when(plain, F.translate(text, "\t", " ")).otherwise(_one_form(F.when(~plain, text)))
+    rest = F.when(~plain, text)
+    return F.when(plain, F.translate(text, "\t", " ")).otherwise(_skeleton(rest) if bare else _one_form(rest))
 
 
 def normalise(df: DataFrame, *columns: str) -> DataFrame:

@@ -57,13 +57,14 @@ def _pieces(key: Column, p: Column, slack: int) -> Column:
 
 
 def _classes(keys: DataFrame) -> DataFrame:
-    """(dossier, key_id, class_id): each key under the keys around which it lies.
+    """(dossier, key_id, class_id, docs): each key under the keys around which it lies.
 
     keys: (dossier, key_id, key, docs), one row per distinct key of a dossier. A
-    key that stands unmisread in two documents or more is a centre.
+    key that stands unmisread in two documents or more is a centre; docs counts
+    the documents of the centre's own key.
     """
     keys = keys.withColumn("n", F.length("key"))
-    centres = keys.where("docs >= 2").select("dossier", F.col("key_id").alias("class_id"), F.col("key").alias("centre"))
+    centres = keys.where("docs >= 2").select("dossier", F.col("key_id").alias("class_id"), F.col("key").alias("centre"), "docs")
     n = F.length("centre")
     asked = centres.where(n >= 4).withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("centre"), _piece(n), 0))))
     sizes = F.array_distinct(F.array(*[_piece(F.col("n") + d) for d in (-2, 0, 2)]))
@@ -74,8 +75,8 @@ def _classes(keys: DataFrame) -> DataFrame:
     near = near.join(keys.select("dossier", "key_id", "key"), ["dossier", "key_id"]).join(centres, ["dossier", "class_id"])
     close = F.levenshtein("key", "centre", 2)
     near = near.where((close >= 0) & (close <= _allowed(F.least(F.length("key"), F.length("centre")))))
-    own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id")
-    return own.unionByName(near.select("dossier", "key_id", "class_id"))
+    own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "docs")
+    return own.unionByName(near.select("dossier", "key_id", "class_id", "docs"))
 
 
 def suffix_blocks(ids: np.ndarray, texts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -136,7 +137,7 @@ def repeated_lines(
     extra columns are ignored; empty tables give an empty result.
     """
     of = documents.select("document_id", F.col("dossier_id").alias("dossier")).where("dossier is not null").distinct()
-    spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", looks(F.col("text")).alias("text"))
+    spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", looks(F.col("text"), bare=True).alias("text"))
     lines = spans.select("span_id", "document_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("span_id", "document_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
     lines = written(lines.join(of, "document_id").withColumn("key_id", F.xxhash64("key")), "lines")
@@ -148,15 +149,18 @@ def repeated_lines(
     texts = keyed.groupBy("dossier", "key_id").agg(F.min("key").alias("key"))
     near = written(_classes(docs.join(texts, ["dossier", "key_id"])), "line-classes")
 
-    met = keyed.select("dossier", "key_id", "document_id", "span_id", "line_no").join(near, ["dossier", "key_id"])
-    spread = met.select("dossier", "class_id", "document_id").distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("docs"))
-    often = spread.join(size, "dossier").where("docs >= needed").withColumn("rank", F.struct("docs", "class_id"))
-    met = met.join(often.select("dossier", "class_id", "rank", "needed"), ["dossier", "class_id"])
-    met = met.groupBy("dossier", "document_id", "span_id", "line_no").agg(F.max("rank").alias("rank"), F.max("needed").alias("needed"))
-    each = F.array_sort(F.collect_list(F.struct("line_no", F.col("rank.class_id").alias("class_id"))))
-    texts = met.groupBy("dossier", "document_id", "span_id").agg(each.alias("lines"), F.max("needed").alias("needed"))
+    met = keyed.select("dossier", "key_id", "document_id", "span_id", "line_no")
+    spread = met.select("dossier", "key_id", "document_id").distinct().join(near, ["dossier", "key_id"])
+    spread = spread.select("dossier", "class_id", "document_id").distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("spread"))
+    often = spread.join(size, "dossier").where("spread >= needed").select("dossier", "class_id")
+    best = near.join(often, ["dossier", "class_id"], "left_semi").groupBy("dossier", "key_id").agg(F.max(F.struct("docs", "class_id"))["class_id"].alias("class_id"))
+    above = best.select("dossier", F.col("key_id").alias("class_id"), F.col("class_id").alias("above_id"))
+    best = best.join(above, ["dossier", "class_id"], "left").select("dossier", "key_id", F.coalesce("above_id", "class_id").alias("class_id"))
+    met = met.join(best, ["dossier", "key_id"]).select("dossier", "document_id", "span_id", "line_no", "class_id").distinct()
+    each = F.array_sort(F.collect_list(F.struct("line_no", "class_id")))
+    texts = met.groupBy("dossier", "document_id", "span_id").agg(each.alias("lines"))
     schema = "dossier string, block binary, n_lines int, document_id string, span_id string, line_no int"
-    met = written(texts.drop("needed").mapInPandas(_blocks(longest), schema), "line-blocks")
+    met = written(texts.mapInPandas(_blocks(longest), schema), "line-blocks")
     spread = met.select("dossier", "block", "document_id").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
     go = spread.join(size, "dossier").where("docs >= needed").select("dossier", "block")
     found = met.join(go, ["dossier", "block"], "left_semi")
