@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimloom.sources.tables import written
+
 # Letters that look alike, one class per word, its Latin letter first.
 CLASSES = (
     "AАΑᎪ BВΒᏴ CСϹᏟ EЕΕᎬ HНΗᎻ IІΙӀ JЈᎫ KКΚᏦK MМΜᎷ NΝ OОΟՕ PРΡᏢ SЅՏᏚ TТΤᎢ XХΧ YҮΥ ZΖᏃ "
@@ -172,7 +174,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     digest = lambda c: F.unhex(F.md5(c))
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    rows = rows.select("k", digest(looks(F.col("t"))).alias("look"), digest("t").alias("spelling"))
+    rows = written(rows.select("k", digest(looks(F.col("t"))).alias("look"), digest("t").alias("spelling")), "looks")
     twice = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("look")
     rows = rows.join(twice, "look", "left_semi").distinct()
     other = rows.select("look", F.col("k").alias("key_b"), F.col("spelling").alias("s"))
