@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.sources.tables import small
+
 # Quantity | unit | factor to the first unit of the quantity | added before it | spellings.
 UNITS = """
 pressure | kPa | 1 | 0 | kPa; kilopascal; kilopascals
@@ -243,7 +245,7 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     unsure = F.trim(F.coalesce("unit", F.lit(""))).rlike(r"^(|-|\?|n/?a|none|units?|see text)$") | F.col("value").isNull() & ~F.col("unit").rlike(r"\d")
     lost = known.where(unsure)
     ids = lost.select("span_id").where("span_id is not null").distinct()
-    texts = spans.select("span_id", "text").join(F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids, "span_id", "left_semi")
+    texts = spans.select("span_id", "text").join(small(ids, broadcast_ids), "span_id", "left_semi")
     lost = lost.join(texts.dropDuplicates(["span_id"]), "span_id", "left")
     both = known.where(~unsure).withColumn("text", F.lit(None).cast("string")).unionByName(lost)
     schema = "gold_id string, label string, number double, found_quantity string, found_unit string"

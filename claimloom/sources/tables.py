@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    Counts no more than ``rows`` + 1 rows; meant for narrow tables that are
+    written or cheap to read. Beyond the bound the join is left to the planner.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
