@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import lookalike, siteline
+from claimloom.llm import leakage, lookalike, siteline
 from claimloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siteline.repeated_lines(table(spark, sf_dir, "spans"), table(spark, sf_dir, "dossier_documents"))
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a third of a test item, with what they hold of it."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a third of a test item."""
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked test items with the number of documents that hold them."""
+    return leakage.leaked_items(p6_leaks(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    found = (p1_found, p3_found, p6_found, p6_leaks, p6_items)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
