@@ -20,12 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimloom.llm.lookalike import looks
-from claimloom.sources.tables import written
+from claimloom.sources.tables import small, written
 
 KINDS = ("page", "paragraph")
+CENTRE = 1 / 8  # share of the documents needed in which a centre's own key stands
 
 
 def line_key(line: Column) -> Column:
@@ -56,27 +56,22 @@ def _pieces(key: Column, p: Column, slack: int) -> Column:
     return F.array(cut(0, F.lit(1)), *places, cut(2, -p))
 
 
-def _classes(keys: DataFrame) -> DataFrame:
-    """(dossier, key_id, class_id, docs): each key under the keys around which it lies.
+def _near(lines: DataFrame, centres: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the ``lines`` with each centre within the misread letters allowed.
 
-    keys: (dossier, key_id, key, docs), one row per distinct key of a dossier. A
-    key that stands unmisread in two documents or more is a centre; docs counts
-    the documents of the centre's own key.
+    lines: dossier, key and ``columns``; centres: dossier, class_id, centre,
+    weight. Rows repeat where several pieces meet.
     """
-    keys = keys.withColumn("n", F.length("key"))
-    centres = keys.where("docs >= 2").select("dossier", F.col("key_id").alias("class_id"), F.col("key").alias("centre"), "docs")
-    n = F.length("centre")
-    asked = centres.where(n >= 4).withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("centre"), _piece(n), 0))))
-    sizes = F.array_distinct(F.array(*[_piece(F.col("n") + d) for d in (-2, 0, 2)]))
-    held = F.flatten(F.transform(sizes, lambda p: _pieces(F.col("key"), p, 1)))
-    offered = keys.where("n >= 4").select("dossier", "key_id", F.explode(F.array_distinct(held)).alias("piece"))
-    near = offered.join(asked.select("dossier", "piece", "class_id"), ["dossier", "piece"])
-    near = near.where("key_id <> class_id").select("dossier", "key_id", "class_id").distinct()
-    near = near.join(keys.select("dossier", "key_id", "key"), ["dossier", "key_id"]).join(centres, ["dossier", "class_id"])
-    close = F.levenshtein("key", "centre", 2)
-    near = near.where((close >= 0) & (close <= _allowed(F.least(F.length("key"), F.length("centre")))))
-    own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "docs")
-    return own.unionByName(near.select("dossier", "key_id", "class_id", "docs"))
+    n, c = F.length("key"), F.length("centre")
+    ranges = centres.groupBy("dossier").agg(F.min(c).alias("least"), F.max(c).alias("most"))
+    lines = lines.join(small(ranges), "dossier").where((n >= 4) & (n >= F.col("least") - 2) & (n <= F.col("most") + 2))
+    asked = centres.where(c >= 4).withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("centre"), _piece(c), 0))))
+    sizes = F.array_distinct(F.array(*[_piece(n + d) for d in (-2, 0, 2)]))
+    held = F.array_distinct(F.flatten(F.transform(sizes, lambda p: _pieces(F.col("key"), p, 1))))
+    offered = lines.select("dossier", "key", *columns, F.explode(held).alias("piece"))
+    near = offered.join(small(asked), ["dossier", "piece"])
+    far = F.levenshtein("key", "centre", 2)
+    return near.where((far >= 0) & (far <= _allowed(F.least(n, c)))).select("dossier", *columns, "class_id", "weight")
 
 
 def suffix_blocks(ids: np.ndarray, texts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -107,17 +102,19 @@ def suffix_blocks(ids: np.ndarray, texts: np.ndarray, longest: int) -> Iterator[
 def _blocks(longest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for dossier, part in df.groupby("dossier", sort=False):
-                sizes = part["lines"].map(len).to_numpy()
-                rows = np.repeat(np.arange(len(part)), sizes)
-                lines = np.array([x["line_no"] for v in part["lines"] for x in v], dtype=np.int64)
-                ids = np.array([x["class_id"] for v in part["lines"] for x in v], dtype=np.int64)
-                breaks = np.ones(len(ids), dtype=bool)  # identifiers left out end a run of lines
-                breaks[1:] = (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1] + 1)
-                docs, spans = part["document_id"].to_numpy(), part["span_id"].to_numpy()
-                for starts, _, n in suffix_blocks(ids, np.cumsum(breaks), longest):
-                    names = [hashlib.md5(ids[i : i + n].tobytes()).digest() for i in starts]
-                    yield pd.DataFrame({"dossier": dossier, "block": names, "n_lines": n, "document_id": docs[rows[starts]], "span_id": spans[rows[starts]], "line_no": lines[starts].astype(np.int32)})
+            sizes = df["lines"].map(len).to_numpy()
+            rows = np.repeat(np.arange(len(df)), sizes)
+            lines = np.array([x["line_no"] for v in df["lines"] for x in v], dtype=np.int32)
+            ids = np.array([x["class_id"] for v in df["lines"] for x in v], dtype=np.int64)
+            breaks = np.ones(len(ids), dtype=bool)  # identifiers left out end a run of lines
+            breaks[1:] = (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1] + 1)
+            dossiers, docs, spans = (df[c].to_numpy() for c in ("dossier", "doc", "span_id"))
+            for starts, groups, n in suffix_blocks(ids, np.cumsum(breaks), longest):
+                first = np.unique(groups, return_index=True)[1]
+                names = [hashlib.blake2b(ids[starts[i] : starts[i] + n].tobytes(), digest_size=8).digest() for i in first]
+                names = np.frombuffer(b"".join(names), dtype=np.int64)[np.unique(groups, return_inverse=True)[1]]
+                of = rows[starts]
+                yield pd.DataFrame({"dossier": dossiers[of], "block": names, "n_lines": n, "doc": docs[of], "span_id": spans[of], "line_no": lines[starts]})
 
     return run
 
@@ -130,40 +127,62 @@ def repeated_lines(
     spans: span_id, document_id, location_kind, text; only pages and paragraphs
     count. documents: document_id, dossier_id. A line goes if it stands in at
     least ``share`` and at least ``least`` of those documents of its dossier that
-    have such spans, alone or within a block of up to ``longest`` lines.
+    have such spans, alone or within a block of up to ``longest`` lines. Misread
+    lines are counted with a line that stands unmisread in two documents or more,
+    and in at least ``CENTRE`` of the documents needed.
 
     Null texts have no lines, but their document counts; blank lines never go;
     spans without a document or dossier give nothing; repeated rows count once;
     extra columns are ignored; empty tables give an empty result.
     """
-    of = documents.select("document_id", F.col("dossier_id").alias("dossier")).where("dossier is not null").distinct()
-    spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", looks(F.col("text"), bare=True).alias("text"))
-    lines = spans.select("span_id", "document_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("span_id", "document_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
-    lines = written(lines.join(of, "document_id").withColumn("key_id", F.xxhash64("key")), "lines")
-
-    keyed = lines.where("key is not null")
-    size = lines.select("dossier", "document_id").distinct().groupBy("dossier").agg(F.count("*").alias("of_docs"))
+    of = documents.select("document_id", F.xxhash64("dossier_id").alias("dossier")).where("dossier_id is not null").distinct()
+    spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", "text").join(small(of, 500_000), "document_id")
+    spans = spans.select("dossier", F.xxhash64("document_id").alias("doc"), "span_id", looks(F.col("text"), bare=True).alias("text"))
+    lines = spans.select("dossier", "doc", "span_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
+    lines = written(lines.withColumn("key_id", F.xxhash64("key")), "lines")
+
+    size = lines.select("dossier", "doc").distinct().groupBy("dossier").agg(F.count("*").alias("of_docs"))
     size = size.select("dossier", F.greatest(F.lit(least), F.ceil(F.col("of_docs") * share)).alias("needed"))
-    docs = keyed.select("dossier", "key_id", "document_id").distinct().groupBy("dossier", "key_id").agg(F.count("*").alias("docs"))
-    texts = keyed.groupBy("dossier", "key_id").agg(F.min("key").alias("key"))
-    near = written(_classes(docs.join(texts, ["dossier", "key_id"])), "line-classes")
-
-    met = keyed.select("dossier", "key_id", "document_id", "span_id", "line_no")
-    spread = met.select("dossier", "key_id", "document_id").distinct().join(near, ["dossier", "key_id"])
-    spread = spread.select("dossier", "class_id", "document_id").distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("spread"))
-    often = spread.join(size, "dossier").where("spread >= needed").select("dossier", "class_id")
-    best = near.join(often, ["dossier", "class_id"], "left_semi").groupBy("dossier", "key_id").agg(F.max(F.struct("docs", "class_id"))["class_id"].alias("class_id"))
-    above = best.select("dossier", F.col("key_id").alias("class_id"), F.col("class_id").alias("above_id"))
-    best = best.join(above, ["dossier", "class_id"], "left").select("dossier", "key_id", F.coalesce("above_id", "class_id").alias("class_id"))
-    met = met.join(best, ["dossier", "key_id"]).select("dossier", "document_id", "span_id", "line_no", "class_id").distinct()
+    size = small(written(size, "dossiers"))
+    keyed = lines.where("key is not null")
+    unmisread = F.greatest(F.lit(2), F.ceil(F.col("needed") * CENTRE))
+    rows = keyed.groupBy("dossier", "key_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    rows = rows.join(size, "dossier").where(F.col("n_rows") >= unmisread).select("dossier", "key_id")
+    docs = keyed.join(small(written(rows, "line-keys")), ["dossier", "key_id"], "left_semi").groupBy("dossier", "key_id", "doc").agg(F.min("key").alias("key"))
+    docs = docs.groupBy("dossier", "key_id").agg(F.count("*").alias("weight"), F.min("key").alias("centre"))
+    docs = docs.join(size, "dossier").where(F.col("weight") >= unmisread)
+    centres = written(docs.select("dossier", F.col("key_id").alias("class_id"), "centre", "weight"), "line-centres")
+
+    # A line lies in the class of its own key, if that is a centre, or else in those of the centres near it.
+    own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "weight")
+    at = ("doc", "span_id", "line_no")
+    exact = keyed.join(small(own), ["dossier", "key_id"]).select("dossier", *at, "class_id", "weight")
+    other = keyed.join(small(own.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti")
+    met = written(exact.unionByName(_near(other, centres, *at)), "near-lines")
+    beside = centres.select("dossier", F.col("class_id").alias("key_id"), F.col("centre").alias("key"))
+    beside = written(_near(beside, centres, "key_id").distinct(), "near-centres")
+
+    # The documents of a class: of the lines in it, and of the lines of the centres near it.
+    spread = met.select("dossier", "class_id", "doc").distinct()
+    more = beside.where("key_id <> class_id").select("dossier", "key_id", F.col("class_id").alias("to"))
+    more = spread.join(small(more), (spread["dossier"] == more["dossier"]) & (spread["class_id"] == more["key_id"])).select(spread["dossier"], F.col("to").alias("class_id"), "doc")
+    spread = spread.unionByName(more).distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("docs"))
+    often = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "class_id"), "classes")
+    best = F.max(F.struct("weight", "class_id"))["class_id"].alias("top")
+    top = beside.join(small(often), ["dossier", "class_id"], "left_semi").groupBy("dossier", "key_id").agg(best)
+    top = small(written(top.select("dossier", F.col("key_id").alias("class_id"), "top"), "top-classes"))
+
+    # A line of several classes takes the one whose own key is the most frequent.
+    met = met.join(top, ["dossier", "class_id"])
+    met = met.groupBy("dossier", *at).agg(F.max(F.struct("weight", "top"))["top"].alias("class_id"))
     each = F.array_sort(F.collect_list(F.struct("line_no", "class_id")))
-    texts = met.groupBy("dossier", "document_id", "span_id").agg(each.alias("lines"))
-    schema = "dossier string, block binary, n_lines int, document_id string, span_id string, line_no int"
-    met = written(texts.mapInPandas(_blocks(longest), schema), "line-blocks")
-    spread = met.select("dossier", "block", "document_id").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
-    go = spread.join(size, "dossier").where("docs >= needed").select("dossier", "block")
-    found = met.join(go, ["dossier", "block"], "left_semi")
+    texts = met.groupBy("dossier", "doc", "span_id").agg(each.alias("lines"))
+    schema = "dossier bigint, block bigint, n_lines int, doc bigint, span_id string, line_no int"
+    blocks = written(texts.mapInPandas(_blocks(longest), schema), "line-blocks")
+    spread = blocks.select("dossier", "block", "doc").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
+    go = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "block"), "frequent-blocks")
+    found = blocks.join(small(go), ["dossier", "block"], "left_semi")
     return found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no")).distinct()
 
 
