@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import leakage, lookalike, siteline
+from claimloom.llm import canonical, leakage, lookalike, siteline
 from claimloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siteline.repeated_lines(table(spark, sf_dir, "spans"), table(spark, sf_dir, "dossier_documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference entry meant by each mention and graph source without a literal key."""
+    mentions, graph, references = (table(spark, sf_dir, t) for t in ("citation_mentions", "graph_records", "reference_sources"))
+    return canonical.resolve(canonical.unkeyed(mentions, graph, references), references)
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a third of a test item, with what they hold of it."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -39,7 +45,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p3_found, p6_found, p6_leaks, p6_items)
+    found = (p1_found, p3_found, p5_found, p6_found, p6_leaks, p6_items)
     return {f.__name__: f for f in found}
 
 
