@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import canonical, leakage, lookalike, siteline
+from claimloom.llm import canonical, leakage, lookalike, markup, siteline
 from claimloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(lookalike.meant_words(table(spark, sf_dir, "source_anchors"), "anchor_id", "matched_via"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure kept of each document, and the previews that hold markup."""
+    found = markup.structure(table(spark, sf_dir, "extracted_markdown"), "md_id", "markdown_text")
+    marked = markup.residue(table(spark, sf_dir, "source_anchors"), "anchor_id", "preview")
+    return found.unionByName(marked.withColumns({"part_kind": F.lit("residue"), "plain_text": F.lit("")}))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as clean text."""
+    return markup.cleaned(table(spark, sf_dir, "extracted_markdown"), "md_id", "markdown_text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that repeat over a dossier's documents."""
     return siteline.repeated_lines(table(spark, sf_dir, "spans"), table(spark, sf_dir, "dossier_documents"))
@@ -45,7 +58,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p3_found, p5_found, p6_found, p6_leaks, p6_items)
+    found = (p1_found, p2_found, p2_clean, p3_found, p5_found, p6_found, p6_leaks, p6_items)
     return {f.__name__: f for f in found}
 
 
