@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import canonical, leakage, lookalike, markup, siteline
-from claimloom.sources.tables import table
+from claimloom.llm import canonical, leakage, lookalike, markup, mixing, reading, siteline
+from claimloom.sources.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +57,38 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(p6_leaks(spark, sf_dir))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = written(mixing.token_counts(table(spark, sf_dir, "documents")), "tokens")
+    return mixing.mix(counts, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of documents that make up the mix."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached token shares of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of each English document, with its source."""
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of each English document."""
+    return p8_levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source and reading level."""
+    return p8_levels(spark, sf_dir).groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"))
+
+
 def queries() -> dict[str, Query]:
-    found = (p1_found, p2_found, p2_clean, p3_found, p5_found, p6_found, p6_leaks, p6_items)
+    found = (p1_found, p2_found, p2_clean, p3_found, p5_found, p6_found, p6_leaks, p6_items, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in found}
 
 
