@@ -32,11 +32,11 @@ from claimloom.sources.tables import written
 
 # Letters that look alike, one class per word, its Latin letter first.
 CLASSES = (
-    "AАΑᎪ BВΒᏴ CСϹᏟ EЕΕᎬ HНΗᎻ IІΙӀ JЈᎫ KКΚᏦK MМΜᎷ NΝ OОΟՕ PРΡᏢ SЅՏᏚ TТΤᎢ XХΧ YҮΥ ZΖᏃ "
-    "aаα cсϲ dԁ eе gցɡ hһհ iіι jјϳ lӏ nո oоοօσ pрρ qԛզ sѕ uυս vνѵ wԝѡ xх yуγү ʙв ᴋкκ ᴍм ᴛтτ"
+    "AАΑᎪ BВΒᏴ CСϹᏟ EЕΕᎬ HНΗᎻ IІΙ JЈᎫ KКΚᏦK MМΜᎷ NΝ OОΟՕ PРΡᏢ SЅՏᏚ TТΤᎢ XХΧ YҮΥ ZΖᏃ "
+    "aаα cсϲ dԁ eе gցɡ hһհ iіι jјϳ lӏ nո oоοօ pрρ qԛզ sѕ uυս vνѵ wԝѡ xх yуγ ʙв ᴋкκ ᴍм ᴛтτ"
 ).split()
 SAME_SIGN = {"µ": "μ", "Ω": "Ω", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ſ": "s"}
-USUAL = "АВСЕНІЈКМОРЅТХУасеіјорѕухгквмтΑΒΕΗΙΚΜΝΟΡΤΧΥΖαγικνορσυτ"
+USUAL = "АВСЕНІЈКМОРЅТХУасеіјорѕухгквмтΑΒΕΗΙΚΜΝΟΡΤΧΥΖαγικνορυτ"
 HYPHENS = "‐‑﹣－"
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 JOINED = "ĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"

@@ -54,7 +54,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked test items with the number of documents that hold them."""
-    return leakage.leaked_items(p6_leaks(spark, sf_dir))
+    return leakage.leaked_items(p6_leaks(spark, sf_dir)).select("item_id", "n_docs")
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -93,4 +93,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from claimloom.llm.sql import SQL
+
+    return SQL

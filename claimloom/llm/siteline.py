@@ -161,7 +161,8 @@ def repeated_lines(
     other = keyed.join(small(own.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti")
     met = written(exact.unionByName(_near(other, centres, *at)), "near-lines")
     beside = centres.select("dossier", F.col("class_id").alias("key_id"), F.col("centre").alias("key"))
-    beside = written(_near(beside, centres, "key_id").distinct(), "near-centres")
+    itself = own.select("dossier", "key_id", "class_id", "weight")
+    beside = written(_near(beside, centres, "key_id").unionByName(itself).distinct(), "near-centres")
 
     # The documents of a class: of the lines in it, and of the lines of the centres near it.
     spread = met.select("dossier", "class_id", "doc").distinct()
