@@ -197,13 +197,14 @@ def train(rated: pd.DataFrame) -> Model:
         else:
             y = np.bincount(place, w * level) / weight
         unseen = _unseen(x, y, weight, folds)
-        agrees = {r: float(np.mean(np.rint(unseen[place[raters == r]]) == level[raters == r])) for r in trust}
         if not turn:
-            trust = {r: max(0.05, a) ** 3 for r, a in agrees.items()}
+            error = {r: float(np.mean((unseen[place[raters == r]] - level[raters == r]) ** 2)) for r in trust}
+            trust = {r: (0.05 + min(error.values())) / (0.05 + e) for r, e in error.items()}
     grades = sorted({int(v) for v in y})
     bounds = [_bound(unseen, y > g, weight, (g + h) / 2) for g, h in zip(grades, grades[1:])]
     bounds = list(np.maximum.accumulate(bounds)) if bounds else []
-    hit = np.array(grades)[np.searchsorted(bounds, unseen, side="left")] == y
+    given = np.array(grades)[np.searchsorted(bounds, unseen, side="left")]
+    hit, agrees = given == y, {r: float(np.mean(given[place[raters == r]] == level[raters == r])) for r in trust}
     return Model(Trees().fit(x, y, weight), grades, bounds, agrees, float(np.average(hit, weights=weight)))
 
 
