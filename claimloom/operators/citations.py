@@ -89,7 +89,7 @@ def mentions(spans: DataFrame) -> DataFrame:
     """
     rows = spans.where(F.col("text").isNotNull() & ~citation_noise())
     found = mentions_of(F.col("text"), F.col("location_kind"), F.col("document_id"))
-    rows = rows.select("document_id", "span_id", found.alias("found")).where(F.size("found") > 0)
+    rows = rows.select("document_id", "span_id", found.alias("found"))
     rows = rows.withColumn("number", occurrences(F.col("found"), "marker_form", "marker"))
     rows = rows.select("document_id", "span_id", F.explode(F.arrays_zip("found", "number")).alias("m"))
     m = F.col("m.found")

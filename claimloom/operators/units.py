@@ -240,7 +240,7 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     level = F.col("confidence_interval")
     facts = facts.select("gold_id", "span_id", "label", "value", "unit", level["lower"].alias("lower"), level["upper"].alias("upper")).distinct()
     labels = labels.select("label", "quantity", "common_unit", "decimals").where("label is not null").dropDuplicates(["label"])
-    facts = facts.join(labels, "label", "left")
+    facts = facts.join(small(labels), "label", "left")
     known = facts.where("common_unit is not null")
     unsure = F.trim(F.coalesce("unit", F.lit(""))).rlike(r"^(|-|\?|n/?a|none|units?|see text)$") | F.col("value").isNull() & ~F.col("unit").rlike(r"\d")
     lost = known.where(unsure)
@@ -252,7 +252,7 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     read = both.select("gold_id", "label", "quantity", "value", "unit", "lower", "upper", "text").mapInPandas(_read, schema)
 
     table = spark.createDataFrame(factors(), FACTORS)
-    read = read.join(F.broadcast(labels), "label")
+    read = read.join(small(labels), "label")
     own = table.select(F.col("quantity").alias("found_quantity"), F.col("unit").alias("found_unit"), "factor", "added")
     goal = table.select("quantity", F.col("unit").alias("common_unit"), F.col("factor").alias("goal_factor"), F.col("added").alias("goal_added"))
     read = read.join(F.broadcast(own), ["found_quantity", "found_unit"], "left").join(F.broadcast(goal), ["quantity", "common_unit"], "left")

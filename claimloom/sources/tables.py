@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_claimloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.parent.suffix != ".zip":
+        folder = tempfile.mkdtemp(prefix="claimloom-ship-")
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/claimloom_package.zip", "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(f"{folder}/claimloom_package.zip")
+    context._claimloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/claimloom-{spark.sparkContext.applicationId}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = f"{tempfile.gettempdir()}/claimloom-{spark.sparkContext.applicationId}"
+        if local not in _local:
+            _local.add(local)
+            atexit.register(shutil.rmtree, local, True)
+        folder = f"file://{local}"
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
