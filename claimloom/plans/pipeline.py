@@ -44,7 +44,8 @@ def verify(spark: SparkSession, dossier: str, output: str) -> dict[str, int]:
     run_id = graph.run_id(documents, counts)
     if documents.where("kind = 'SSCP'").limit(1).count():
         counts["rule_matches"] = guidance.rule_matches(spans, documents).count()
-    manifest = {"run_id": run_id, "artifact_counts": counts, "graph_sha256": digest, "unresolved_affected_ids": graph.unresolved_ids(artifacts["findings"], records).count()}
+    hashes = {"graph.jsonl": digest} | sinks.write_reports(artifacts, counts, run_id, output)
+    manifest = {"run_id": run_id, "artifact_counts": counts, "artifact_hashes": hashes, "unresolved_affected_ids": graph.unresolved_ids(artifacts["findings"], records).count()}
     Path(output, "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=2) + "\n", encoding="utf-8")
     return counts
 

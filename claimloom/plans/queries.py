@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import ids
 from claimloom.functions.text import find_all, strip
-from claimloom.operators import checkers, citations, claims, graph, guidance, layout, sources, units
+from claimloom.operators import checkers, citations, claims, graph, guidance, layout, sources, units, validate
 from claimloom.operators import spans as span_ops
 from claimloom.sources.tables import table, written
 
@@ -195,6 +195,20 @@ def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.assembled(lines, levels, layout.running_lines(lines, "document_id"), "document_id")
 
 
+def table_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural violations of the delivered tables."""
+    spans, documents = table(spark, sf_dir, "spans"), documents_of(spark, sf_dir)
+    anchors = table(spark, sf_dir, "source_anchors")
+    return validate.all_issues(
+        validate.duplicated(spans, "span_id"),
+        validate.outside(spans, "span_id", "location_kind", ["paragraph", "page"]),
+        validate.unknown(anchors, "anchor_id", "md_id", table(spark, sf_dir, "extracted_markdown"), "md_id"),
+        validate.outside(anchors, "anchor_id", "matched_via", ["verbatim", "whitespace_normalised"]),
+        validate.absent(documents, "document_id", "metadata", ["extension", "maker"]),
+        validate.blank(spans, "span_id", "text", "location_label"),
+    )
+
+
 def p4_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact with its status and its value in the common unit."""
     return units.common_units(*(table(spark, sf_dir, t) for t in ("demo_numeric_facts", "spans", "measure_labels")))
@@ -210,7 +224,7 @@ def queries() -> dict[str, Query]:
         p4_found, p4_facts, document_kinds, document_kinds_refined, document_ids, span_ids, span_noise, citation_forms, citation_mention_ids,
         count_claims, percentage_claims, claim_rows, requirement_gaps, source_rows, evidence_links, pipeline_findings, findings_by_severity,
         graph_counts, broken_citations, mention_links, graph_closure, rule_evidence, anchor_pages, excerpt_anchors, layout_normalised,
-        layout_heading_levels, layout_running_lines, layout_documents,
+        layout_heading_levels, layout_running_lines, layout_documents, table_issues,
     )
     return {f.__name__: f for f in found}
 

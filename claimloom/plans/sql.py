@@ -255,4 +255,12 @@ SQL = {
       SELECT doc, size, level FROM (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS level
         FROM (SELECT DISTINCT l_orderkey AS doc, round(CAST(l_quantity AS DOUBLE), 1) AS size FROM lineitem WHERE CAST(l_quantity AS DOUBLE) >= 11.5)) WHERE level <= 3""",
     "layout_running_lines": RUNNING,
+    "table_issues": """
+      SELECT 'duplicated' AS "check", span_id AS key, 'span_id' AS "column", CAST(count(*) AS VARCHAR) AS value FROM spans WHERE span_id IS NOT NULL GROUP BY span_id HAVING count(*) > 1
+      UNION ALL SELECT 'outside', span_id, 'location_kind', location_kind FROM spans WHERE location_kind NOT IN ('paragraph', 'page')
+      UNION ALL SELECT 'unknown', anchor_id, 'md_id', md_id FROM source_anchors WHERE md_id NOT IN (SELECT md_id FROM extracted_markdown WHERE md_id IS NOT NULL)
+      UNION ALL SELECT 'outside', anchor_id, 'matched_via', matched_via FROM source_anchors WHERE matched_via NOT IN ('verbatim', 'whitespace_normalised')
+      UNION ALL SELECT 'absent', document_id, 'metadata', k FROM dossier_documents, (VALUES ('extension'), ('maker')) t(k) WHERE NOT coalesce(list_contains(map_keys(metadata), k), false)
+      UNION ALL SELECT 'blank', span_id, 'text', text FROM spans WHERE trim(coalesce(text, ''), ' ') = ''
+      UNION ALL SELECT 'blank', span_id, 'location_label', location_label FROM spans WHERE trim(coalesce(location_label, ''), ' ') = ''""",
 }

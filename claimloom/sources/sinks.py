@@ -16,6 +16,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators import checkers
+from claimloom.sources import ooxml
+
 # Columns of the findings file and names of the artifacts.
 FINDING_COLUMNS = ("eco_id", "severity", "checker_id", "finding_type", "affected_object_ids", "evidence", "remediation_hint", "adjudication_state")
 ARTIFACTS = ("documents", "spans", "claims", "citations", "sources", "evidence_links", "findings", "graph")
@@ -54,7 +57,7 @@ def check_output(source: str, output: str) -> None:
 
 def clear_output(output: str) -> None:
     """Removes the artifacts of an earlier run, by their names, and nothing else."""
-    for name in (*ARTIFACTS, "manifest.json", "findings.csv", "graph.jsonl"):
+    for name in (*ARTIFACTS, "manifest.json", "findings.csv", "graph.jsonl", "report.json", "findings.xlsx", "report.docx"):
         path = Path(output) / name
         if path.is_symlink() or path.is_file():
             path.unlink()
@@ -68,3 +71,38 @@ def write_package(artifacts: dict[str, DataFrame], output: str) -> dict[str, int
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output}/{name}")
     spark = next(iter(artifacts.values())).sparkSession
     return {name: spark.read.schema(df.schema).json(f"{output}/{name}").count() for name, df in artifacts.items()}
+
+
+def write_reports(artifacts: dict[str, DataFrame], counts: dict[str, int], run_id: str, output: str) -> dict[str, str]:
+    """report.json, findings.xlsx and report.docx of a run, and the SHA-256 of each.
+
+    Findings are streamed in the order of their ids; the files hold all of them.
+    """
+    findings, documents = artifacts["findings"], artifacts["documents"]
+    severities = [(r.severity, r.n) for r in checkers.by_severity(findings).orderBy("severity_pos").collect()]
+    types = [(r.finding_type, r.n) for r in checkers.by_type(findings).orderBy("finding_type").collect()]
+    names = lambda df, c: [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
+    report = {
+        "report_schema_version": "report.v1",
+        "run_id": run_id,
+        "artifact_counts": dict(sorted(counts.items())),
+        "findings_summary": {"by_severity": dict(severities), "by_finding_type": dict(types)},
+        "observed_methods": {"extraction_methods": names(artifacts["claims"], "extraction_method"), "checker_ids": names(findings, "checker_id"), "linking_methods": names(artifacts["evidence_links"], "linking_method")},
+    }
+    flat = findings.withColumn("affected_object_ids", F.concat_ws(";", "affected_object_ids")).select(*FINDING_COLUMNS).orderBy("eco_id", "affected_object_ids")
+    summary = [("by_severity", *x) for x in severities] + [("by_finding_type", *x) for x in types]
+    review = ["reviewer", "review_notes", "resolution"]
+    book = ooxml.workbook({"Findings": ([*FINDING_COLUMNS, *review], ((*r, "", "", "") for r in flat.toLocalIterator())), "Summary": (["Section", "Key", "Count"], summary)})
+    listed = documents.select("document_id", "kind", "path").orderBy("document_id")
+    page = ooxml.document(
+        [
+            ("h1", "Run summary"), ("p", f"Run ID: {run_id}"), ("table", [("Artifact count", "Value"), *sorted(counts.items())]),
+            ("h1", "Input documents"), ("table", [("document_id", "kind", "path"), *listed.toLocalIterator()]),
+            ("h1", "Findings summary"), ("h2", "By severity"), ("table", [("Severity", "Count"), *severities]), ("h2", "By finding type"), ("table", [("Finding type", "Count"), *types]),
+            ("h1", "Finding detail"), ("table", [FINDING_COLUMNS, *flat.toLocalIterator()]),
+        ]
+    )
+    files = {"report.json": (json.dumps(report, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode(), "findings.xlsx": book, "report.docx": page}
+    for name, data in files.items():
+        Path(output, name).write_bytes(data)
+    return {name: hashlib.sha256(data).hexdigest() for name, data in files.items()}
