@@ -30,7 +30,23 @@ d AS (SELECT DISTINCT doc_id, unnest({RUNS}) AS run FROM (SELECT doc_id, {WORDS}
 h AS (SELECT doc_id, item_id, count(*) AS held, any_value(n) AS n FROM i JOIN d USING (run) GROUP BY ALL)
 """
 
+LETTERS = "regexp_replace(lower(line), '[^\\p{L}]+', '', 'g')"
+P3 = f"""
+WITH t AS (SELECT DISTINCT dossier_id, document_id, span_id, {look("text")} AS text FROM spans JOIN dossier_documents USING (document_id)
+  WHERE location_kind IN ('page', 'paragraph') AND dossier_id IS NOT NULL),
+n AS (SELECT dossier_id, greatest(5, ceil(count(DISTINCT document_id) * 0.25)) AS needed FROM t GROUP BY 1),
+x AS (SELECT dossier_id, document_id, span_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM t),
+l AS (SELECT *, CASE WHEN {LETTERS} <> '' THEN {LETTERS} WHEN regexp_matches(line, '\\S') THEN '#' END AS key FROM x),
+k AS (SELECT dossier_id, key, count(DISTINCT document_id) AS docs FROM l WHERE key IS NOT NULL GROUP BY ALL),
+c AS (SELECT dossier_id, key AS centre, needed FROM k JOIN n USING (dossier_id) WHERE docs >= greatest(2, ceil(needed / 8))),
+near AS (SELECT dossier_id, centre, key, needed FROM c JOIN k USING (dossier_id) WHERE key = centre OR (abs(length(key) - length(centre)) <= 2
+  AND least(length(key), length(centre)) >= 4 AND levenshtein(key, centre) <= CASE WHEN least(length(key), length(centre)) >= 6 THEN 2 ELSE 1 END)),
+often AS (SELECT dossier_id, centre FROM near JOIN l USING (dossier_id, key) GROUP BY dossier_id, centre, needed HAVING count(DISTINCT document_id) >= needed)
+SELECT DISTINCT span_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN near USING (dossier_id, key) JOIN often USING (dossier_id, centre)
+"""
+
 SQL = {
+    "p3_found": P3,
     "p1_found": f"""
       WITH s AS (SELECT DISTINCT span_id, text, {look("text")} AS look FROM spans WHERE text IS NOT NULL)
       SELECT a.span_id AS key_a, b.span_id AS key_b FROM s a JOIN s b ON a.look = b.look AND a.span_id < b.span_id AND a.text <> b.text
