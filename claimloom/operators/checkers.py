@@ -76,8 +76,9 @@ def broken_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _with_claims(links: DataFrame, claims: DataFrame) -> DataFrame:
-    claims = claims.select("claim_id", "document_id", "span_id", "claim_type", "text").dropDuplicates(["claim_id"])
-    return links.join(claims, "claim_id")
+    """``links`` with the claim of each; of claims with one id the first text in order."""
+    claims = claims.groupBy("claim_id").agg(F.min(F.struct("text", "document_id", "span_id", "claim_type")).alias("c"))
+    return links.join(claims.select("claim_id", "c.*"), "claim_id")
 
 
 def unresolved_links(links: DataFrame, claims: DataFrame) -> DataFrame:

@@ -145,15 +145,15 @@ def mapping(spark):
 
 def test_end_to_end(spark):
     spans, documents = mapping(spark)
-    made, cited, found = claims.claims(spans, documents), citations.mentions(spans), sources.sources(documents, spans)
+    made, cited, found = (x.cache() for x in (claims.claims(spans, documents), citations.mentions(spans), sources.sources(documents, spans)))
     assert [r.text for r in made.where("claim_type = 'completeness'").collect()] == ["Need three"]
     assert sorted((r.path, r.citation_key, r.availability_status, r.origin_span_ids) for r in found.collect()) == [("PMS.docx", None, "missing_file", ["span_g3"]), ("bibliography/a.pdf", "kerry_2022", "local_fulltext", [])]
-    linked = sources.links(made, cited, found, spans)
+    linked = sources.links(made, cited, found, spans).cache()
     assert linked.count() == made.count()
     by = {(r.text, r.claim_type): r.status for r in linked.join(made, "claim_id").collect()}
     assert by["3.2%", "numeric"] == by["(Kerry, 2022)", "citation"] == "resolved" and by["Need three", "completeness"] == "source_missing" and by["Class III medical device", "classification"] == "manual_review_required"
     assert by["The efficacy was high [1].", "clinical_performance"] == "source_unresolved"
-    findings = checkers.findings(made, cited, found, linked)
+    findings = checkers.findings(made, cited, found, linked).cache()
     rows = sorted((r.finding_type, r.severity) for r in findings.collect())
     assert rows == [
         ("claim_without_resolved_source", "Major"), ("classification_rationale_requires_manual_review", "Informational"), ("completeness_gap_applicable_but_no_evidence", "Major"),
