@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,40 +43,43 @@ def n_words(text: str) -> int:
     return sum(any(map(str.isalnum, w)) for w in text.split())
 
 
+@lru_cache(maxsize=200_000)
+def _word(word: str) -> tuple[str, int, int, int, int]:
+    """The word in lower case, its letters, syllables, and whether it opens a clause or addresses the reader."""
+    low = word.lower()
+    return low, len(low), len(VOWELS.findall(low)) or 1, int(low in CLAUSE), int(low in ADDRESS)
+
+
 def features(text: str) -> list[float]:
     """The distributions of ``text``; zeros if it has no words."""
     rows, cohesion, before, seen, total = [], [], set(), set(), 0
     for sentence in SENTENCE.split(text):
-        words = [w.lower() for w in WORD.findall(sentence)]
-        if not words:
+        found = WORD.findall(sentence)
+        if not found:
             continue
-        n = len(words)
-        long = [len(w) for w in words]
-        syllables = [len(VOWELS.findall(w)) or 1 for w in words]
-        rows.append(
-            (
-                n,
-                sum(long) / n,
-                sum(x >= 7 for x in long) / n,
-                sum(x >= 11 for x in long) / n,
-                max(long),
-                sum(syllables) / n,
-                sum(x >= 4 for x in syllables) / n,
-                sentence.count(",") / n,
-                sum(w in CLAUSE for w in words) / n,
-                sum(w in ADDRESS for w in words) / n,
-                len(NUMBERS.findall(sentence)) / n,
-            )
-        )
-        now = {w for w in words if len(w) > 3}
-        cohesion.append(len(now & before) / max(1, len(now | before)))
+        n = len(found)
+        words, long, syllables, clause, address = zip(*map(_word, found))
+        commas, numbers = sentence.count(","), len(NUMBERS.findall(sentence))
+        rows.append((n, sum(long), sum(x >= 7 for x in long), sum(x >= 11 for x in long), max(long) * n, sum(syllables), sum(x >= 4 for x in syllables), commas, sum(clause), sum(address), numbers))
+        now = {w for w, k in zip(words, long) if k > 3}
+        shared = len(now & before)
+        cohesion.append(shared / max(1, len(now) + len(before) - shared))
         before, total = now, total + n
         seen.update(words)
     if not rows:
         return [0.0] * N_FEATURES
     table = np.array(rows, dtype=float)
-    figures = [np.average(table, axis=0, weights=table[:, 0]), table.mean(0), table.std(0), *np.quantile(table, QUANTILES, axis=0)]
-    extra = [len(rows), total, len(seen) / total**0.8, np.mean(cohesion), np.std(cohesion), text.count("\n\n") / len(rows)]
+    n = table[:, 0].copy()
+    table[:, 1:] /= n[:, None]
+    ordered = np.sort(table, axis=0)
+    place = np.array(QUANTILES) * (len(rows) - 1)
+    low = place.astype(int)
+    part = (place - low)[:, None]
+    quantiles = ordered[low] * (1 - part) + ordered[np.minimum(low + 1, len(rows) - 1)] * part
+    mean = table.mean(0)
+    figures = [n @ table / total, mean, np.sqrt(((table - mean) ** 2).mean(0)), *quantiles]
+    shared = np.array(cohesion)
+    extra = [len(rows), total, len(seen) / total**0.8, shared.mean(), shared.std(), text.count("\n\n") / len(rows)]
     return [*np.concatenate(figures).tolist(), *map(float, extra)]
 
 
