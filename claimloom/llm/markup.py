@@ -38,7 +38,7 @@ KEPT = re.compile(f"{HOLD}(\\d+){END}")
 NAME = r"[a-zA-Z][\w:-]*"
 TAG = re.compile(rf"<(/?)({NAME})((?:\s[^<>]*)?)/?>")
 RAW = re.compile(
-    r"(?P<comment><!--.*?(?:-->|\Z))"
+    r"(?=[<`~\\$ ])(?:(?P<comment><!--.*?(?:-->|\Z))"
     r"|(?P<drop><(?P<dropped>script|style|head|ref)(?:\s[^<>]*)?(?<!/)>.*?</(?P=dropped)\s*>)"
     r"|(?P<pre><(?P<pretag>pre|syntaxhighlight|source|listing|xmp)(?:\s[^<>]*)?>(?P<precode>.*?)(?:</(?P=pretag)\s*>|\Z))"
     r"|(?P<fence>^[ ]{0,3}(?P<ticks>`{3,}|~{3,})[^\n`]*\n(?P<fenced>.*?)(?:^[ ]{0,3}(?P=ticks)[`~]*[ \t]*$|\Z))"
@@ -49,7 +49,7 @@ RAW = re.compile(
     r"|(?P<display>(?<!\\)\$\$(?P<displayed>[^$]+?)\$\$)"
     r"|(?P<bracket>\\\[(?P<bracketed>(?:(?!\n\s*\n).)+?)\\\])"
     r"|(?P<paren>\\\((?P<parened>(?:(?!\n\s*\n).)+?)\\\))"
-    r"|(?P<dollar>(?<![\\$\w])\$(?=[^\s$])(?P<dollared>(?:\\\$|[^$\n]|\n(?!\s*\n))+?)(?<![\s\\])\$(?![\w$]))",
+    r"|(?P<dollar>(?<![\\$\w])\$(?=[^\s$])(?P<dollared>(?:\\\$|[^$\n]|\n(?!\s*\n))+?)(?<![\s\\])\$(?![\w$])))",
     re.S | re.M | re.I,
 )
 ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
