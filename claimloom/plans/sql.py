@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from claimloom.plans.units_sql import P4
+
 # White space, digits and line ends as the Spark patterns see them.
 S = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 D = r"\p{Nd}"
@@ -221,6 +223,7 @@ FROM (SELECT span_id, text, {Q1} AS a, {Q2} AS b, {Q3} AS c, {Q4} AS d, {Q5} AS
 """
 
 SQL = {
+    "p4_found": P4,
     "document_kinds": KINDS.replace("AS kind", "AS inferred_kind"),
     "document_kinds_refined": f"""
       SELECT document_id, CASE WHEN kind = 'OTHER' AND document_id IN (SELECT document_id FROM {SPANS}
