@@ -76,5 +76,5 @@ def test_sql(against_sql):
     from claimloom.llm import queries
 
     sql = queries.oracle_sql()
-    for name in ("p1_found", "p6_found", "p6_items"):
+    for name in sql:
         against_sql(queries.queries()[name], sql[name])
