@@ -24,68 +24,68 @@ from claimloom.sources.tables import small
 
 # Quantity | unit | factor to the first unit of the quantity | added before it | spellings.
 UNITS = """
-pressure | kPa | 1 | 0 | kPa; kilopascal; kilopascals
-pressure | Pa | 0.001 | 0 | Pa; pascal; pascals
-pressure | MPa | 1000 | 0 | MPa; megapascal; megapascals
+pressure | kPa | 1 | 0 | kPa; kilopascal
+pressure | Pa | 0.001 | 0 | Pa; pascal
+pressure | MPa | 1000 | 0 | MPa; megapascal
 pressure | N/mm2 | 1000 | 0 | N/mm2; N/mm^2
 pressure | 10^5 Pa | 100 | 0 | 10^5 Pa
-pressure | bar | 100 | 0 | bar; bars
-pressure | mbar | 0.1 | 0 | mbar; millibar; millibars
-pressure | atm | 101.325 | 0 | atm; atmosphere; atmospheres
-pressure | mmHg | 0.133322387415 | 0 | mmHg; mm Hg; mm of mercury; millimetres of mercury; millimeters of mercury; millimetre of mercury
+pressure | bar | 100 | 0 | bar
+pressure | mbar | 0.1 | 0 | mbar; millibar
+pressure | atm | 101.325 | 0 | atm; atmosphere
+pressure | mmHg | 0.133322387415 | 0 | mmHg; mm Hg; mm of mercury; millimetre of mercury
 pressure | torr | 0.13332236842105263 | 0 | torr
-pressure | cmH2O | 0.0980665 | 0 | cmH2O; cm H2O; cm of water; centimetres of water; centimeters of water
-pressure | psi | 6.894757293168361 | 0 | psi; lb/in2; lbf/in2; pounds per square inch; pound per square inch
-length | mm | 1 | 0 | mm; millimetre; millimetres; millimeter; millimeters
-length | cm | 10 | 0 | cm; centimetre; centimetres; centimeter; centimeters
-length | m | 1000 | 0 | m; metre; metres; meter; meters
-length | µm | 0.001 | 0 | µm; um; micron; microns; micrometre; micrometres; micrometer; micrometers; 10^-6 m
-length | nm | 0.000001 | 0 | nm; nanometre; nanometres; nanometer; nanometers
+pressure | cmH2O | 0.0980665 | 0 | cmH2O; cm H2O; cm of water; centimetres of water
+pressure | psi | 6.894757293168361 | 0 | psi; lb/in2; lbf/in2; pound per square inch
+length | mm | 1 | 0 | mm; millimetre
+length | cm | 10 | 0 | cm; centimetre
+length | m | 1000 | 0 | m; metre
+length | µm | 0.001 | 0 | µm; um; micron; micrometre; 10^-6 m
+length | nm | 0.000001 | 0 | nm; nanometre
 length | in | 25.4 | 0 | in; in.; inch; inches; ″; "
 length | Fr | 0.3333333333333333 | 0 | Fr; French; F (French); Ch; Charrière; Charriere
-mass | mg | 1 | 0 | mg; milligram; milligrams
-mass | g | 1000 | 0 | g; gm; gram; grams
-mass | kg | 1000000 | 0 | kg; kilogram; kilograms
-mass | µg | 0.001 | 0 | µg; ug; mcg; microgram; micrograms
-mass | ng | 0.000001 | 0 | ng; nanogram; nanograms
-force | N | 1 | 0 | N; newton; newtons
-force | mN | 0.001 | 0 | mN; millinewton; millinewtons; 10^-3 N
-force | kN | 1000 | 0 | kN; kilonewton; kilonewtons
-force | kgf | 9.80665 | 0 | kgf; kg-force; kilogram-force; kp; kilopond; kiloponds
+mass | mg | 1 | 0 | mg; milligram
+mass | g | 1000 | 0 | g; gm; gram
+mass | kg | 1000000 | 0 | kg; kilogram
+mass | µg | 0.001 | 0 | µg; ug; mcg; microgram
+mass | ng | 0.000001 | 0 | ng; nanogram
+force | N | 1 | 0 | N; newton
+force | mN | 0.001 | 0 | mN; millinewton; 10^-3 N
+force | kN | 1000 | 0 | kN; kilonewton
+force | kgf | 9.80665 | 0 | kgf; kg-force; kilogram-force; kp; kilopond
 force | gf | 0.00980665 | 0 | gf; gram-force; gram force; grams-force
 force | lbf | 4.4482216152605 | 0 | lbf; lb-force; pound-force; pounds-force
 temperature | degC | 1 | 0 | degC; deg C; °C; Celsius; degrees Celsius
-temperature | K | 1 | -273.15 | K; kelvin; kelvins
+temperature | K | 1 | -273.15 | K; kelvin
 temperature | degF | 0.5555555555555556 | -32 | degF; deg F; °F; Fahrenheit; degrees Fahrenheit
-duration | min | 1 | 0 | min; mins; minute; minutes
-duration | s | 0.016666666666666666 | 0 | s; sec; secs; second; seconds
-duration | ms | 0.000016666666666666667 | 0 | ms; millisecond; milliseconds
-duration | h | 60 | 0 | h; hr; hrs; hour; hours
-duration | d | 1440 | 0 | d; day; days
-followup | month | 1 | 0 | month; months; mo; mth; mths
-followup | year | 12 | 0 | year; years; yr; yrs; y
-followup | week | 0.22997946611909652 | 0 | week; weeks; wk; wks
-followup | day | 0.03285420944558522 | 0 | day; days; d
+duration | min | 1 | 0 | min; minute
+duration | s | 0.016666666666666666 | 0 | s; sec; second
+duration | ms | 0.000016666666666666667 | 0 | ms; millisecond
+duration | h | 60 | 0 | h; hr; hrs; hour
+duration | d | 1440 | 0 | d; day
+followup | month | 1 | 0 | month; mo; mth
+followup | year | 12 | 0 | year; yr; yrs; y
+followup | week | 0.22997946611909652 | 0 | week; wk; wks
+followup | day | 0.03285420944558522 | 0 | day; d
 proportion | percent | 1 | 0 | percent; per cent; pct; %; %age; percentage; per 100
 proportion | fraction | 100 | 0 | fraction; proportion; ratio; (0-1)
 proportion | per mille | 0.1 | 0 | ‰; per mille; per thousand; per 1000; per 1,000; per 1 000; /1,000; /1000
 proportion | per 10000 | 0.01 | 0 | ‱; per 10,000; per 10 000; per 10000; /10000; /10,000; per ten thousand
 proportion | ppm | 0.0001 | 0 | ppm; parts per million; per million
-fluxdensity | T | 1 | 0 | T; tesla; teslas
-fluxdensity | mT | 0.001 | 0 | mT; millitesla; milliteslas; 10^-3 T
+fluxdensity | T | 1 | 0 | T; tesla
+fluxdensity | mT | 0.001 | 0 | mT; millitesla; 10^-3 T
 fluxdensity | G | 0.0001 | 0 | G; Gs; gauss
 fluxdensity | kG | 0.1 | 0 | kG; kilogauss
-fieldgradient | T/m | 1 | 0 | T/m; tesla/m; tesla per metre; tesla per meter
-fieldgradient | mT/m | 0.001 | 0 | mT/m; millitesla/m; millitesla per metre; millitesla per meter
-fieldgradient | G/cm | 0.01 | 0 | G/cm; gauss/cm; gauss / cm; gauss per centimetre; gauss per centimeter
-absorption | W/kg | 1 | 0 | W/kg; watt/kg; watts/kg; W kg-1; W kg^-1; watts per kilogram; watt per kilogram
-absorption | mW/kg | 0.001 | 0 | mW/kg; milliwatt/kg; milliwatts per kilogram; milliwatt per kilogram
-absorption | mW/g | 1 | 0 | mW/g; milliwatt/g; milliwatt per gram; milliwatts per gram
-volume | mL | 1 | 0 | mL; millilitre; millilitres; milliliter; milliliters
-volume | cm3 | 1 | 0 | cm3; cm^3; cc; ccm; cubic centimetre; cubic centimetres; cubic centimeters
-volume | L | 1000 | 0 | L; litre; litres; liter; liters
-volume | dL | 100 | 0 | dL; decilitre; decilitres; deciliter; deciliters
-volume | µL | 0.001 | 0 | µL; uL; microlitre; microlitres; microliter; microliters
+fieldgradient | T/m | 1 | 0 | T/m; tesla/m; tesla per metre
+fieldgradient | mT/m | 0.001 | 0 | mT/m; millitesla/m; millitesla per metre
+fieldgradient | G/cm | 0.01 | 0 | G/cm; gauss/cm; gauss / cm; gauss per centimetre
+absorption | W/kg | 1 | 0 | W/kg; watt/kg; watts/kg; W kg-1; W kg^-1; watt per kilogram
+absorption | mW/kg | 0.001 | 0 | mW/kg; milliwatt/kg; milliwatt per kilogram
+absorption | mW/g | 1 | 0 | mW/g; milliwatt/g; milliwatt per gram
+volume | mL | 1 | 0 | mL; millilitre
+volume | cm3 | 1 | 0 | cm3; cm^3; cc; ccm; cubic centimetre; cubic centimetres
+volume | L | 1000 | 0 | L; litre
+volume | dL | 100 | 0 | dL; decilitre
+volume | µL | 0.001 | 0 | µL; uL; microlitre
 """
 SIGNS = {"º": "°", "℃": "°C", "℉": "°F", "μ": "µ", "×": "x", "−": "-", "‐": "-", "‑": "-", "′′": "″", "''": "″"}
 # End of the fixed values.
@@ -125,6 +125,16 @@ def fold(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def spellings(name: str) -> set[str]:
+    """``name`` with its plural and in American spelling; powers also behind a times sign."""
+    found = {name} | {name.replace("metre", "meter").replace("litre", "liter")}
+    if re.fullmatch(r"[a-z]{3,}", name):
+        found |= {f"{x}s" for x in found}
+    elif re.match(r"[a-z]{4,} (?:of|per) ", name):
+        found |= {x.replace(" ", "s ", 1) for x in found}
+    return found | {sign + x for x in found for sign in ("x ", "x") if name.startswith("10^")}
+
+
 @lru_cache(maxsize=None)
 def _automaton() -> ahocorasick.Automaton:
     """All spellings without letter case; each with its (quantity, unit, spelling)."""
@@ -132,7 +142,7 @@ def _automaton() -> ahocorasick.Automaton:
     for line in UNITS.strip().splitlines():
         quantity, unit, _, _, names = (x.strip() for x in line.split(" | "))
         for name in names.split("; "):
-            for spelling in (name, f"x {name}", f"x{name}") if name.startswith("10^") else (name,):
+            for spelling in sorted(spellings(name)):
                 found.setdefault(spelling.lower(), []).append((quantity, unit, spelling))
     made = ahocorasick.Automaton()
     for spelling, units in found.items():
