@@ -179,7 +179,7 @@ def claims(spans: DataFrame, documents: DataFrame) -> DataFrame:
 
     Spans that are no evidence text give none, as do null texts; ids may repeat
     where two spellings of an entity differ in case only; a repeated span gives
-    its claims again.
+    its claims again, equal in every column, so that ``distinct`` leaves them once.
     """
     rows = noise.classified(spans, documents)
     text, kind, document = F.col("text"), F.col("location_kind"), F.col("document_id")

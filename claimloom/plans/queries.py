@@ -17,9 +17,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPAN = ["span_id", "document_id", "location_kind", "location_index", "location_label", "section", "text"]
 
 
+def delivered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans as delivered, some of them again.
+
+    Operators that work in the row of a span give equal rows for equal spans, so
+    queries make their small results distinct instead of shuffling all texts.
+    """
+    return table(spark, sf_dir, "spans").select(*SPAN)
+
+
 def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans, delivered again or not, once each."""
-    return table(spark, sf_dir, "spans").select(*SPAN).distinct()
+    """The spans once each, for queries that need their texts together."""
+    return delivered_spans(spark, sf_dir).distinct()
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +53,7 @@ def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_kinds_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = documents_of(spark, sf_dir).select("document_id", span_ops.inferred_kind(F.col("path")).alias("kind"))
-    return span_ops.refined_kinds(documents, spans_of(spark, sf_dir))
+    return span_ops.refined_kinds(documents, delivered_spans(spark, sf_dir))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,55 +62,55 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ids.span_id(*(F.col(c) for c in ("document_id", "location_kind", "location_index", "location_label", "text")))
-    return spans_of(spark, sf_dir).select("span_id", made.alias("computed_id"))
+    return delivered_spans(spark, sf_dir).select("span_id", made.alias("computed_id")).distinct()
 
 
 def span_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = span_ops.classified(spans_of(spark, sf_dir), documents_of(spark, sf_dir))
-    return rows.select("span_id", F.array_join("reasons", ",").alias("reasons"), "suppress_claims", "citation_noise", "retain_as_anchor")
+    rows = span_ops.classified(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir))
+    return rows.select("span_id", F.array_join("reasons", ",").alias("reasons"), "suppress_claims", "citation_noise", "retain_as_anchor").distinct()
 
 
 def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions per span, form, marker and key."""
-    found = citations.mentions(spans_of(spark, sf_dir))
+    found = citation_mention_ids(spark, sf_dir)
     return found.groupBy("span_id", "marker_form", "marker_text", "normalized_key").agg(F.count("*").alias("n"))
 
 
 def citation_mention_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.mentions(spans_of(spark, sf_dir))
+    return citations.mentions(delivered_spans(spark, sf_dir)).distinct()
 
 
 def count_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the count form of spans that are evidence text."""
-    found = claims.claims(spans_of(spark, sf_dir), documents_of(spark, sf_dir))
+    found = claim_rows(spark, sf_dir)
     return found.where(F.col("extraction_method") == claims.METHOD["count"]).select("claim_id", "span_id", "text")
 
 
 def percentage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of percentage claims per span."""
-    found = claims.claims(spans_of(spark, sf_dir), documents_of(spark, sf_dir))
+    found = claim_rows(spark, sf_dir)
     return found.where(F.col("extraction_method") == claims.METHOD["percentage"]).groupBy("span_id").agg(F.count("*").alias("n"))
 
 
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.claims(spans_of(spark, sf_dir), documents_of(spark, sf_dir))
+    return claims.claims(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir)).distinct()
 
 
 def requirement_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement cells of applicable rows without evidence."""
-    rows = span_ops.classified(spans_of(spark, sf_dir), documents_of(spark, sf_dir))
-    return claims.requirement_gaps(rows).select("document_id", "row", "span_id")
+    rows = span_ops.classified(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir))
+    return claims.requirement_gaps(rows).select("document_id", "row", "span_id").distinct()
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources.sources(documents_of(spark, sf_dir), spans_of(spark, sf_dir))
+    found = sources.sources(documents_of(spark, sf_dir), delivered_spans(spark, sf_dir))
     return found.select("source_id", "path", "citation_key", "availability_status", F.array_join("origin_span_ids", ",").alias("origin_span_ids"))
 
 
 def _end_to_end(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    spans, documents = spans_of(spark, sf_dir), documents_of(spark, sf_dir)
-    made = written(claims.claims(spans, documents), "claims")
-    cited = written(citations.mentions(spans), "mentions")
+    spans, documents = delivered_spans(spark, sf_dir), documents_of(spark, sf_dir)
+    made = written(claim_rows(spark, sf_dir), "claims")
+    cited = written(citation_mention_ids(spark, sf_dir), "mentions")
     found = written(sources.sources(documents, spans), "sources")
     linked = written(sources.links(made, cited, found, spans), "links")
     return made, cited, found, linked, checkers.findings(made, cited, found, linked)
@@ -149,7 +158,7 @@ def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five spans of each dossier for each keyword rule."""
-    found = guidance.rule_matches(spans_of(spark, sf_dir), documents_of(spark, sf_dir), "dossier_id")
+    found = guidance.rule_matches(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir), "dossier_id")
     return found.select("rule_id", "dossier_id", "match_no", "span_id", "matched_pattern", "span_text_preview")
 
 
