@@ -192,7 +192,7 @@ RULES = """
  ('guidance.sscp.metadata.notified_body_identifier', 3, 'single identification number')) p(rule_id, pattern_pos, pattern)
 """
 EVIDENCE = f"""
-SELECT rule_id, dossier_id, match_no, span_id, matched_pattern, left({_flat("text")}, 200) AS span_text_preview FROM (
+SELECT rule_id, dossier_id, CAST(match_no AS INTEGER) AS match_no, span_id, matched_pattern, left({_flat("text")}, 200) AS span_text_preview FROM (
   SELECT *, row_number() OVER (PARTITION BY rule_id, dossier_id ORDER BY document_id, location_kind, location_index, span_id) AS match_no FROM (
     SELECT rule_id, dossier_id, s.document_id, location_kind, location_index, span_id, text, arg_min(pattern, pattern_pos) AS matched_pattern
     FROM {SPANS} s JOIN (SELECT DISTINCT document_id, dossier_id FROM dossier_documents WHERE kind = 'SSCP') USING (document_id)
@@ -255,7 +255,7 @@ SQL = {
         FROM source_anchors JOIN (SELECT DISTINCT md_id, markdown_text FROM extracted_markdown) USING (md_id) WHERE preview <> '') WHERE pos >= 0""",
     "layout_normalised": NORMAL,
     "layout_heading_levels": """
-      SELECT doc, size, level FROM (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS level
+      SELECT doc, size, CAST(level AS INTEGER) AS level FROM (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS level
         FROM (SELECT DISTINCT l_orderkey AS doc, round(CAST(l_quantity AS DOUBLE), 1) AS size FROM lineitem WHERE CAST(l_quantity AS DOUBLE) >= 11.5)) WHERE level <= 3""",
     "layout_running_lines": RUNNING,
     "table_issues": """
