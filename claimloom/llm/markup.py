@@ -34,6 +34,7 @@ LATEX_DROP = set("cite citep citet ref eqref label pageref usepackage documentcl
 # End of the fixed values.
 
 HOLD, END = "\ue000", "\ue001"
+DEEPEST = 100
 KEPT = re.compile(f"{HOLD}(\\d+){END}")
 NAME = r"[a-zA-Z][\w:-]*"
 TAG = re.compile(rf"<(/?)({NAME})((?:\s[^<>]*)?)/?>")
@@ -56,6 +57,7 @@ ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(.*\S.*)$")
 WIKI_HEAD = re.compile(r"^(={1,6})\s*(.*?)\s*(={1,6})\s*$")
 WIKI_ITEM = re.compile(r"^([*#:;]+)\s*(.*)$")
+COMMAND = re.compile(r"\\([a-zA-Z]+)\*?[ \t]*")
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 RESIDUE = re.compile(
     rf"<!--|-->|</?{NAME}(?:\s[^<>]*)?/?>|</?[a-zA-Z][^<>\n]*\Z|<!-?\Z"
@@ -71,10 +73,11 @@ RESIDUE = re.compile(
 class Node:
     """An element with its text, children and the density figures of its subtree."""
 
-    __slots__ = ("tag", "parts", "parent", "tags", "chars", "links", "linked", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "depth", "tags", "chars", "links", "linked", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.parts = tag, parent, []
+        self.depth = parent.depth + 1 if parent else 0
         self.tags = self.chars = self.links = self.linked = 0
         self.density = self.total = 0.0
 
@@ -244,7 +247,7 @@ def _braced(text: str, at: int) -> int:
     return len(text)
 
 
-def _latex(text: str, kept: list[tuple[str, str]]) -> str:
+def _latex(text: str, kept: list[tuple[str, str]], depth: int = 0) -> str:
     text = re.sub(r"(?<!\\)%[^\n]*", "", text)
     text = re.sub(r"\\begin\{tabular[x*]?\}.*?(?:\\end\{tabular[x*]?\}|\Z)", "\n\n", text, flags=re.S)
 
@@ -254,9 +257,10 @@ def _latex(text: str, kept: list[tuple[str, str]]) -> str:
 
     text = re.sub(r"\\([%&#$_{}])", escaped, text)
     text = re.sub(r"\\\\(?:\[[^\]\n]*\])?", " ", text)
+    inner = lambda x: _latex(x, kept, depth + 1) if depth < DEEPEST else x
     out, at = [], 0
     for _ in range(len(text) + 1):
-        m = re.compile(r"\\([a-zA-Z]+)\*?[ \t]*").search(text, at)
+        m = COMMAND.search(text, at)
         if not m:
             break
         out.append(text[at : m.start()])
@@ -266,7 +270,7 @@ def _latex(text: str, kept: list[tuple[str, str]]) -> str:
         if name in LATEX_LEVELS and text[at : at + 1] == "{":
             end = _braced(text, at)
             n = LATEX_LEVELS[name]
-            out.append(f"\n<h{n}>{_latex(text[at + 1 : end - 1], kept)}</h{n}>\n")
+            out.append(f"\n<h{n}>{inner(text[at + 1 : end - 1])}</h{n}>\n")
             at = end
         elif name in ("begin", "end") and text[at : at + 1] == "{":
             end = _braced(text, at)
@@ -284,7 +288,7 @@ def _latex(text: str, kept: list[tuple[str, str]]) -> str:
             at = _braced(text, at)
             if text[at : at + 1] == "{":
                 end = _braced(text, at)
-                out.append(f"<a>{_latex(text[at + 1 : end - 1], kept)}</a>")
+                out.append(f"<a>{inner(text[at + 1 : end - 1])}</a>")
                 at = end
         elif name == "url" and text[at : at + 1] == "{":
             end = _braced(text, at)
@@ -345,9 +349,10 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
                     close({"p"} | HEADINGS)
                 if top.tag == "div" and any(isinstance(p, str) and p.strip() for p in top.parts) and name not in LISTS:
                     close({"div"})
-                node = Node(name, top)
-                top.parts.append(node)
-                top = node
+                if top.depth < DEEPEST or name in HEADINGS or name == "li":  # other elements nested deeper are passed over
+                    node = Node(name, top)
+                    top.parts.append(node)
+                    top = node
             else:
                 up, alike = top, HEADINGS if name in HEADINGS else LISTS if name in LISTS else {"p", "div"} if name in ("p", "div") else {name}
                 while up.parent and up.tag not in alike and not (up.tag in LISTS | TABLE and name in ("p", "div")):
@@ -364,7 +369,7 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
 
 
 def _measure(node: Node) -> None:
-    """Composite text density of every node, children first."""
+    """Characters, tags, links and linked characters of every subtree."""
     for part in node.parts:
         if isinstance(part, str):
             node.chars += len(part.strip())
@@ -372,10 +377,16 @@ def _measure(node: Node) -> None:
             _measure(part)
             node.chars, node.tags = node.chars + part.chars, node.tags + part.tags + 1
             node.links, node.linked = node.links + part.links, node.linked + part.linked
-            node.total += part.density
 
 
 def _densities(node: Node, share: float) -> None:
+    """Composite text density of every node and the sum over its children.
+
+    share: linked characters of the whole body per character. The density is the
+    characters per tag, times a logarithm of characters per linked one and tags
+    per link to a base that grows with the linked text; ones are added to keep
+    both logarithms above zero.
+    """
     node.total = 0.0
     for child in node.children():
         _densities(child, share)
@@ -387,8 +398,12 @@ def _densities(node: Node, share: float) -> None:
         node.density = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(1e-9, math.log(max(base, 1.0001) + 1))
 
 
+def _holds_structure(node: Node) -> bool:
+    return node.tag in HEADINGS or node.tag in ("li", "code_block", "formula") or any(map(_holds_structure, node.children()))
+
+
 def content(root: Node) -> list[Node]:
-    """The subtrees that are the content of the document under ``root``."""
+    """The subtrees that are the content of the document under ``root``, in its order."""
     _measure(root)
     _densities(root, root.linked / max(1, root.chars))
     best, todo = root, [root]
@@ -404,13 +419,18 @@ def content(root: Node) -> list[Node]:
     node = best
     while node.parent:
         for child in node.parent.children():
-            structure = child.tag in HEADINGS | LISTS | {"li", "code_block", "formula"} and child.linked * 2 <= child.chars
+            structure = child.linked * 2 <= child.chars and _holds_structure(child)
             if child is not node and (child.density >= least or structure):
                 found.append(child)
         node = node.parent
-    if best is not root and any(isinstance(p, Node) and p.tag == "formula" for p in root.parts):
-        found += [p for p in root.children() if p.tag == "formula" and p not in found]
-    return found
+    chosen, ordered, todo = {id(n) for n in found}, [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in chosen:
+            ordered.append(node)
+        else:
+            todo += node.children()[::-1]
+    return ordered
 
 
 def tidy(text: str, entities: bool = True) -> str:

@@ -135,6 +135,19 @@ def test_density_takes_the_body_and_leaves_link_lists():
     assert "Plain running text" in kept and "kept item" in kept and "go to page" not in kept
 
 
+def test_structure_beside_the_body_path_is_kept_in_order():
+    body = "".join(f"<p>{'Plain running text of the article goes on. ' * 9}</p>" for _ in range(8))
+    page = f"<html><body><p>See \\(x_1\\).</p><h2>First</h2><div>{body}<h2>Second</h2></div><ul><li>last</li></ul></body></html>"
+    assert M.parts(page) == [("formula", "x_1"), ("heading", "First"), ("heading", "Second"), ("list_item", "last")]
+    assert M.clean(page).index("# First") < M.clean(page).index("Plain") < M.clean(page).index("## Second") < M.clean(page).index("- last")
+
+
+def test_deep_and_broken_nesting():
+    for text in ("<div>" * 5000 + "<h1>T</h1>" + "</div>" * 9, "<ul><li>" * 5000 + "x", "\\begin{document}" + "\\section{" * 5000 + "T", "\\begin{document}\\textbf{" * 3000, "<h1>" * 3000 + "T", "{{" * 5000, "* " * 9000):
+        M.parts(text), M.clean(text)
+    assert M.parts("<div>" * 5000 + "<h1>T</h1>") == [("heading", "T")]
+
+
 @pytest.mark.parametrize("text", ["<p>x", "a <!-- c -->", "x &amp; y", "\\section{a}", "50\\%", "**b**", "see `c`", "[[a]]", "''i''", "# T", "- item", "1. item", "=== T ===", "$$x$$", "| a | b |", "cut <b", "_word_ x", "T\n====", "~~~"])
 def test_residue(text):
     assert M.RESIDUE.search(text)
