@@ -134,12 +134,12 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, block: i
 
     The items are the query set: they are read in blocks of at most ``block``,
     each of which passes once over all documents. An item of fewer than five
-    words is one run; null and empty texts hold and are nothing; repeated rows
+    words is one run; null and empty texts hold and are nothing, nor do null ids; repeated rows
     give repeated rows only if their ids differ; empty tables give no rows.
     """
     rows = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").collect()
     blocks = [tuple((r[0], r[1]) for r in rows[k : k + block]) for k in range(0, len(rows), block)] or [()]
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
 
     def run(part: tuple[tuple[int, str], ...]):
         shared = documents.sparkSession.sparkContext.broadcast(part)

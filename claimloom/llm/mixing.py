@@ -34,7 +34,7 @@ def _tokenizer(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens) of each document; null texts have no tokens."""
+    """(doc_id, source, n_tokens) of each document with an id; null texts have no tokens."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokenizer(vocabulary).encode_ordinary
@@ -42,7 +42,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             df["n_tokens"] = [len(encode(t)) if t else 0 for t in df["text"]]
             yield df[["doc_id", "source", "n_tokens"]]
 
-    return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    return documents.select("doc_id", "source", "text").where("doc_id is not null").mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:

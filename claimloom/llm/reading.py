@@ -229,7 +229,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "rater", "reading_level").limit(sample)
     rated = labels.toPandas()
     ids = documents.sparkSession.createDataFrame(rated[["doc_id"]].drop_duplicates(), labels.select("doc_id").schema)
-    texts = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null")
+    texts = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("doc_id is not null and text is not null")
     texts = texts.join(small(ids, sample), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     described = texts.mapInPandas(_described, "doc_id bigint, source string, features array<double>").toPandas()
     rated = rated.merge(described, on="doc_id")
@@ -239,12 +239,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model
 def levels(documents: DataFrame, labels: DataFrame, lang: str = "en", least_words: int = 30, sample: int = 20_000) -> DataFrame:
     """(doc_id, source, reading_level) of each document in ``lang`` of ``least_words`` words or more.
 
-    Documents of null lang or text get no level, those of null source do; equal
+    Documents of null id, lang or text get no level, those of null source do; equal
     texts get equal levels; equal repeated rows count once. Without any rating
     no document gets a level.
     """
     model = fit(documents, labels, sample)
-    texts = documents.where(F.col("lang") == lang).select("doc_id", "source", "text").where("text is not null" if model else "false")
+    texts = documents.where(F.col("lang") == lang).select("doc_id", "source", "text").where("doc_id is not null and text is not null" if model else "false")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

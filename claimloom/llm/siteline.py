@@ -132,7 +132,8 @@ def repeated_lines(
     and in at least ``CENTRE`` of the documents needed.
 
     Null texts have no lines, but their document counts; blank lines never go;
-    spans without a document or dossier give nothing; repeated rows count once;
+    spans without a document or dossier give nothing, those without an id count
+    but are not named; repeated rows count once;
     extra columns are ignored; empty tables give an empty result.
     """
     of = documents.select("document_id", F.xxhash64("dossier_id").alias("dossier")).where("dossier_id is not null").distinct()
@@ -183,7 +184,7 @@ def repeated_lines(
     blocks = written(texts.mapInPandas(_blocks(longest), schema), "line-blocks")
     spread = blocks.select("dossier", "block", "doc").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
     go = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "block"), "frequent-blocks")
-    found = blocks.join(small(go), ["dossier", "block"], "left_semi")
+    found = blocks.where("span_id is not null").join(small(go), ["dossier", "block"], "left_semi")
     return found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no")).distinct()
 
 

@@ -41,7 +41,7 @@ def test_edges(spark):
 
 @pytest.mark.skipif(not os.path.exists(M.VOCABULARY), reason="no vocabulary here")
 def test_tokens(spark):
-    rows = [(1, "a", "The lot number is missing."), (2, "a", None), (3, None, ""), (4, "a", "<|endoftext|>")]
+    rows = [(1, "a", "The lot number is missing."), (None, "a", "x"), (2, "a", None), (3, None, ""), (4, "a", "<|endoftext|>")]
     found = {r.doc_id: r.n_tokens for r in M.token_counts(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
     assert found[1] == len(M._tokenizer(M.VOCABULARY).encode_ordinary(rows[0][2])) == 6 and found[2] == found[3] == 0 and found[4] > 1
     assert M._tokenizer(M.VOCABULARY).decode(M._tokenizer(M.VOCABULARY).encode_ordinary("naïve 12 mm²\n")) == "naïve 12 mm²\n"

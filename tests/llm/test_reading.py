@@ -50,7 +50,7 @@ def test_unreliable_raters_count_less():
 def test_levels_and_edges(spark):
     rows = corpus()
     labels = [(k, level, "r") for k, _, _, _, level in rows[:40]] + [(999, 1, "r"), (None, 1, "r"), (3, None, "r"), (0, 1, None)]
-    extra = [(100, None, "en", rows[0][3]), (101, "s", None, rows[0][3]), (102, "s", "de", rows[0][3]), (103, "s", "en", "too short"), (104, "s", "en", None), (105, "s", "en", "12 " * 40), (106, "s", "en", HARD * 2000), (100, None, "en", rows[0][3])]
+    extra = [(100, None, "en", rows[0][3]), (101, "s", None, rows[0][3]), (102, "s", "de", rows[0][3]), (103, "s", "en", "too short"), (104, "s", "en", None), (105, "s", "en", "12 " * 40), (None, "s", "en", HARD), (106, "s", "en", HARD * 2000), (100, None, "en", rows[0][3])]
     documents = spark.createDataFrame([r[:4] for r in rows] + extra, "doc_id bigint, source string, lang string, text string").withColumn("reading_level", R.F.lit("clash"))
     labels = spark.createDataFrame(labels, "doc_id bigint, reading_level int, rater string")
     found = {r.doc_id: r.reading_level for r in R.levels(documents, labels).collect()}

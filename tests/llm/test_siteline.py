@@ -46,7 +46,7 @@ def brute(spans, documents, share=0.25, least=5):
             near = {k for k in found if k == centre or min(len(k), len(centre)) >= 4 and distance(k, centre) <= (2 if min(len(k), len(centre)) >= 6 else 1)}
             if len(set().union(*(found[k] for k in near))) >= needed:
                 gone[dossier] |= near
-    return {(s, i) for dossier, s, i, k in lines if k in gone[dossier]}
+    return {(s, i) for dossier, s, i, k in lines if k in gone[dossier] and s is not None}
 
 
 def dossier(seed=3):
@@ -65,7 +65,7 @@ def dossier(seed=3):
                         letters[rng.randrange(len(letters))] = rng.choice("oclh1")
                     lines.append("".join(letters) + " *" * rng.randrange(2))
             spans.append((f"s{d}_{p}", f"d{d}", rng.choice(["page", "paragraph"]), "\n".join(lines)))
-    spans += [("cell", "d1", "table_cell", footer[1]), ("none", "d2", "page", None), ("lost", "dx", "page", footer[1]), ("blank", "d3", "page", "\n\n"), spans[0]]
+    spans += [("cell", "d1", "table_cell", footer[1]), ("none", "d2", "page", None), ("lost", "dx", "page", footer[1]), ("blank", "d3", "page", "\n\n"), (None, "d4", "page", footer[1]), ("nokind", "d5", None, footer[1]), ("nodoc", None, "page", footer[1]), spans[0]]
     return spans, documents
 
 
