@@ -6,6 +6,8 @@ and i where case does not count; none of them may match the empty string.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return f"(?{'i' if ignore_case else ''}Ud){pattern}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once, also where lambdas inside ``use`` refer to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """``text`` without white space of any kind at its ends."""
     return F.regexp_replace(text, rx(rf"^{SPACE}+|{SPACE}+\z"), "")
@@ -74,17 +81,16 @@ def blocked(ranges: Column, start: Column, end: Column) -> Column:
 def occurrences(rows: Column, *same: str) -> Column:
     """Per element of ``rows``, how many up to and with it agree in the fields ``same``."""
 
-    def number(row: Column, i: Column) -> Column:
-        agree = lambda x: F.expr("true") if not same else _all(x, row)
-        return F.size(F.filter(F.slice(rows, F.lit(1), i + 1), agree))
-
-    def _all(a: Column, b: Column) -> Column:
-        alike = a[same[0]].eqNullSafe(b[same[0]])
+    def alike(a: Column, b: Column) -> Column:
+        equal = a[same[0]].eqNullSafe(b[same[0]])
         for name in same[1:]:
-            alike = alike & a[name].eqNullSafe(b[name])
-        return alike
+            equal = equal & a[name].eqNullSafe(b[name])
+        return equal
+
+    def numbers(bound: Column) -> Column:
+        return F.transform(bound, lambda row, i: F.size(F.filter(F.slice(bound, F.lit(1), i + 1), lambda x: alike(x, row))))
 
-    return F.transform(rows, number)
+    return let(rows, numbers)
 
 
 def quoted(text: Column) -> Column:

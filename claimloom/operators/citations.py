@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.ids import citation_id
-from claimloom.functions.text import find_all, inside, occurrences, rx, strip
+from claimloom.functions.text import find_all, inside, let, occurrences, rx, strip
 from claimloom.operators.spans import citation_noise
 
 # Patterns and the parser's name.
@@ -55,22 +55,28 @@ def _mention(found: Column, form: str, key: Column, marker: Column | None = None
 
 
 def mentions_of(text: Column, kind: Column, document: Column) -> Column:
-    """The mentions of one span, in order of form and place."""
+    """The mentions of one span, by form and within a form by place."""
     group = lambda m, pattern, k: F.regexp_extract(m["text"], pattern, k)
-    trials = find_all(text, TRIAL)
-    lists = find_all(text, BRACKETED_LIST)
     none = F.lit(None).cast("string")
     listed = lambda m: F.transform(F.split(group(m, BRACKETED_LIST, 1), ","), lambda n: _mention(m, "numeric_bracketed", none, text=F.concat(F.lit("["), strip(n), F.lit("]"))))
-    single = F.filter(find_all(text, BRACKETED), lambda m: ~inside(lists, m["start"], m["end"]))
     short = short_document_id(document)
-    notes = F.filter(find_all(text, PARENTHESISED), lambda m: ~inside(trials, m["start"], m["end"]) & short.isNotNull())
+
+    def with_trials(trials: Column) -> Column:
+        notes = F.when(short.isNotNull(), F.filter(find_all(text, PARENTHESISED), lambda m: ~inside(trials, m["start"], m["end"])))
+        return F.concat(
+            F.transform(trials, lambda m: _mention(m, "nct_id", F.concat(F.lit("nct_"), F.substring(group(m, TRIAL, 1), 4, 8)), F.lower(group(m, TRIAL, 1)))).cast(MENTION),
+            F.coalesce(F.transform(notes, lambda m: _mention(m, "numeric_parenthetical", F.concat_ws("_", F.lit("footnote"), short, group(m, PARENTHESISED, 1)))).cast(MENTION), F.array().cast(MENTION)),
+        )
+
+    def with_lists(lists: Column) -> Column:
+        single = F.filter(find_all(text, BRACKETED), lambda m: ~inside(lists, m["start"], m["end"]))
+        return F.concat(F.flatten(F.transform(lists, listed)).cast(MENTION), F.transform(single, lambda m: _mention(m, "numeric_bracketed", none)).cast(MENTION))
+
     forms = F.concat(
-        F.transform(trials, lambda m: _mention(m, "nct_id", F.concat(F.lit("nct_"), F.substring(group(m, TRIAL, 1), 4, 8)), F.lower(group(m, TRIAL, 1)))),
+        let(find_all(text, TRIAL), with_trials),
         F.transform(find_all(text, GUIDELINE), lambda m: _mention(m, "named_guideline", F.concat_ws("_", F.replace(F.lower(group(m, GUIDELINE, 1)), F.lit("/"), F.lit("_")), group(m, GUIDELINE, 2)))),
         F.transform(find_all(text, AUTHOR_YEAR), lambda m: _mention(m, "author_year_parenthetical", author_year_key(group(m, AUTHOR_YEAR, 1), group(m, AUTHOR_YEAR, 2)))),
-        F.flatten(F.transform(lists, listed)),
-        F.transform(single, lambda m: _mention(m, "numeric_bracketed", none)),
-        F.transform(notes, lambda m: _mention(m, "numeric_parenthetical", F.concat_ws("_", F.lit("footnote"), short, group(m, PARENTHESISED, 1)))),
+        let(find_all(text, BRACKETED_LIST), with_lists),
         F.transform(find_all(text, REFERENCE), lambda m: _mention(m, "ref_id_numeric", F.concat(F.lit("ref_"), group(m, REFERENCE, 1)))),
     )
     cell = strip(text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.ids import claim_id
-from claimloom.functions.text import blocked, find_all, normalised, occurrences, rx, strip
+from claimloom.functions.text import blocked, find_all, let, normalised, occurrences, rx, strip
 from claimloom.operators import spans as noise
 from claimloom.operators.citations import mentions_of
 
@@ -76,8 +76,12 @@ FOUND = "array<struct<start:int,end:int,text:string>>"
 def _claims(rows: Column, kind: str, method: str, same: str = "normalised", numbered: bool = True) -> Column:
     """The matches ``rows`` as claims, numbered among those of equal ``same``."""
     rows = F.transform(rows, lambda m: F.struct(m["text"].alias("text"), F.lit(kind).alias("claim_type"), F.lit(METHOD[method]).alias("method"), normalised(m["text"]).alias("normalised")))
-    number = occurrences(rows, same) if numbered else F.transform(rows, lambda _: F.lit(1))
-    return F.zip_with(rows, number, lambda r, n: F.struct(r["text"], r["claim_type"], r["method"], r["normalised"], n.cast("int"))).cast(CLAIM)
+
+    def numbered_rows(bound: Column) -> Column:
+        number = occurrences(bound, same) if numbered else F.transform(bound, lambda _: F.lit(1))
+        return F.zip_with(bound, number, lambda r, n: F.struct(r["text"], r["claim_type"], r["method"], r["normalised"], n.cast("int")))
+
+    return let(rows, numbered_rows).cast(CLAIM)
 
 
 def _with_text(rows: Column, text) -> Column:
@@ -86,16 +90,19 @@ def _with_text(rows: Column, text) -> Column:
 
 def numeric(text: Column) -> Column:
     """Percentages with and without interval, intervals and counts, in this order."""
-    both = find_all(text, PERCENT_CI)
-    shown = _with_text(both, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], PERCENT_CI, 1), strip(F.regexp_extract(m["text"], PERCENT_CI, 2))))
-    free = lambda rows: F.filter(rows, lambda m: ~blocked(both, m["start"], m["end"]))
-    bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT)), free(find_all(text, PERCENT_WORD))))
-    trimmed = lambda rows: _with_text(rows, lambda m: strip(m["text"]))
-    return F.concat(
-        _claims(F.concat(shown, trimmed(bare)), "numeric", "percentage"),
-        _claims(trimmed(free(find_all(text, CI_RANGE))), "numeric", "ci"),
-        _claims(find_all(text, COUNT), "numeric", "count"),
-    )
+
+    def given(both: Column) -> Column:
+        shown = _with_text(both, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], PERCENT_CI, 1), strip(F.regexp_extract(m["text"], PERCENT_CI, 2))))
+        free = lambda rows: F.filter(rows, lambda m: ~blocked(both, m["start"], m["end"]))
+        bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT)), free(find_all(text, PERCENT_WORD))))
+        trimmed = lambda rows: _with_text(rows, lambda m: strip(m["text"]))
+        return F.concat(
+            _claims(F.concat(shown, trimmed(bare)), "numeric", "percentage"),
+            _claims(trimmed(free(find_all(text, CI_RANGE))), "numeric", "ci"),
+            _claims(find_all(text, COUNT), "numeric", "count"),
+        )
+
+    return let(find_all(text, PERCENT_CI), given)
 
 
 def value_unit(text: Column) -> Column:
@@ -132,24 +139,26 @@ def performance(text: Column, kind: Column) -> Column:
 
     A page loses its running header first; if it had one, two further words count.
     """
-    body = F.when(kind == "page", noise.without_header(text)).otherwise(text)
-    words = F.concat(find_all(body, PERFORMANCE), F.when(body != text, find_all(body, PERFORMANCE_BARE)).otherwise(F.array().cast(FOUND)))
 
-    def window(m: Column) -> Column:
-        start = F.greatest(m["start"] - PERFORMANCE_WINDOW, F.lit(0))
-        return strip(F.substring(body, start + 1, m["end"] + PERFORMANCE_WINDOW - start))
+    def windows(body: Column) -> Column:
+        words = F.concat(find_all(body, PERFORMANCE), F.when(body != text, find_all(body, PERFORMANCE_BARE)).otherwise(F.array().cast(FOUND)))
+
+        def window(m: Column) -> Column:
+            start = F.greatest(m["start"] - PERFORMANCE_WINDOW, F.lit(0))
+            return strip(F.substring(body, start + 1, m["end"] + PERFORMANCE_WINDOW - start))
 
-    rows = F.filter(_with_text(words, window), lambda m: ~m["text"].rlike(noise.BOILERPLATE))
-    found = _claims(rows, "clinical_performance", "performance")
-    found = F.transform(F.filter(found, lambda c: c["number"] == 1), lambda c: c)
-    return F.when(kind == "table_cell", F.array().cast(CLAIM)).otherwise(found)
+        rows = F.filter(_with_text(words, window), lambda m: ~m["text"].rlike(noise.BOILERPLATE))
+        return F.filter(_claims(rows, "clinical_performance", "performance"), lambda c: c["number"] == 1)
+
+    body = F.when(kind == "page", noise.without_header(text)).otherwise(text)
+    return F.when(kind == "table_cell", F.array().cast(CLAIM)).otherwise(let(body, windows))
 
 
 def cited(text: Column, kind: Column, document: Column) -> Column:
     """Every mention but the bracketed numbers, numbered among equal markers of any form."""
     rows = F.filter(mentions_of(text, kind, document), lambda m: m["marker_form"] != "numeric_bracketed")
     rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), strip(m["marker_text"]).alias("text")))
-    return _claims(F.filter(rows, lambda m: F.lit(True)), "citation", "citation")
+    return _claims(rows, "citation", "citation")
 
 
 def row_number_of(label: Column) -> Column:

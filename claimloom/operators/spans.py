@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import collapse, count_lines, lines, rx, strip
+from claimloom.functions.text import collapse, count_lines, let, lines, rx, strip
+from claimloom.sources.tables import small
 
 # Patterns and word lists.
 BIBLIOGRAPHY_SECTION = rx(r"\b(?:references?|bibliograph(?:y|ies)|sources)\b", True)
@@ -43,20 +44,20 @@ def _columns(*columns: Column | str) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def bibliography(text: Column | str = "text", section: Column | str = "section", kind: Column | str = "location_kind") -> Column:
+def bibliography(text: Column | str = "text", section: Column | str = "section", kind: Column | str = "location_kind", found: Column | None = None) -> Column:
     """A reference list: by its section, its first words, its title, or two numbered entries of a page."""
     text, section, kind = _columns(text, section, kind)
-    found = lines(text)
+    found = lines(text) if found is None else found
     title = F.regexp_replace(F.lower(F.get(found, F.lit(0))), ":+$", "")
     listed = (kind == "page") & (count_lines(found, NUMBERED_REFERENCE) >= 2)
     named = F.coalesce(section, F.lit("")).rlike(BIBLIOGRAPHY_SECTION)
     return F.coalesce(named | text.rlike(BIBLIOGRAPHY_PREFIX) | F.coalesce(title.isin(*BIBLIOGRAPHY_TITLES), F.lit(False)) | listed, named)
 
 
-def contents(text: Column | str = "text", kind: Column | str = "location_kind") -> Column:
+def contents(text: Column | str = "text", kind: Column | str = "location_kind", found: Column | None = None) -> Column:
     """A table of contents: titled with a leader line, or three leader lines of a page."""
     text, kind = _columns(text, kind)
-    found = lines(text)
+    found = lines(text) if found is None else found
     leaders = count_lines(found, CONTENTS_LINE)
     titled = F.contains(F.lower(F.get(found, F.lit(0))), F.lit("table of contents"))
     return F.coalesce((titled & (leaders >= 1)) | ((kind == "page") & (leaders >= 3)), F.lit(False))
@@ -72,18 +73,18 @@ def heading(text: Column | str = "text", section: Column | str = "section", kind
     return F.coalesce((flat != "") & (F.coalesce(title, F.lit(False)) | page), F.lit(False))
 
 
-def chrome(text: Column | str = "text", kind: Column | str = "location_kind") -> Column:
+def chrome(text: Column | str = "text", kind: Column | str = "location_kind", found: Column | None = None) -> Column:
     """A page of one to four lines with a document word and a page marker."""
     text, kind = _columns(text, kind)
-    found = lines(text)
+    found = lines(text) if found is None else found
     flat = F.array_join(found, " ")
     return F.coalesce((kind == "page") & F.size(found).between(1, 4) & flat.rlike(CHROME_WORD) & flat.rlike(PAGE_MARKER), F.lit(False))
 
 
-def appendix(text: Column | str = "text") -> Column:
+def appendix(text: Column | str = "text", found: Column | None = None) -> Column:
     """An appendix whose lines are placeholders."""
     (text,) = _columns(text)
-    found = lines(text)
+    found = lines(text) if found is None else found
     rest = F.slice(found, 2, F.greatest(F.size(found), F.lit(1)))
     return F.coalesce(F.get(found, F.lit(0)).rlike(APPENDIX) & (count_lines(rest, PLACEHOLDER) >= 2), F.lit(False))
 
@@ -97,7 +98,8 @@ def guidance(text: Column | str = "text", document_kind: Column | None = None) -
 
 
 def citation_noise() -> Column:
-    return bibliography() | contents() | heading() | chrome() | appendix()
+    """Whether a span gives no citations; its lines are split once."""
+    return let(lines(F.col("text")), lambda found: bibliography(found=found) | contents(found=found) | heading() | chrome(found=found) | appendix(found=found))
 
 
 def without_header(text: Column) -> Column:
@@ -116,9 +118,20 @@ def sizing_table(text: Column | str = "text") -> Column:
 def classified(spans: DataFrame, documents: DataFrame) -> DataFrame:
     """``spans`` with document_kind, reasons, suppress_claims, citation_noise and retain_as_anchor."""
     kinds = documents.select("document_id", F.col("kind").alias("document_kind")).dropDuplicates(["document_id"])
-    spans = spans.join(kinds, "document_id", "left")
-    tests = {"bibliography": bibliography(), "table_of_contents": contents(), "heading": heading(), "pdf_chrome": chrome(), "appendix_template": appendix(), "guidance_meta": guidance(document_kind=F.col("document_kind"))}
-    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    spans = spans.join(small(kinds, 500_000), "document_id", "left")
+
+    def reasons_of(found: Column) -> Column:
+        tests = {
+            "bibliography": bibliography(found=found),
+            "table_of_contents": contents(found=found),
+            "heading": heading(),
+            "pdf_chrome": chrome(found=found),
+            "appendix_template": appendix(found=found),
+            "guidance_meta": guidance(document_kind=F.col("document_kind")),
+        }
+        return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+
+    reasons = let(lines(F.col("text")), reasons_of)
     spans = spans.withColumn("reasons", reasons)
     return spans.withColumns(
         {
