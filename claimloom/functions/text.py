@@ -47,10 +47,12 @@ def count_lines(lines_: Column, pattern: str) -> Column:
     return F.size(F.filter(lines_, lambda x: x.rlike(pattern)))
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str, *signs: str) -> Column:
     """All matches as array<struct<start, end, text>>, in characters from 0.
 
-    The offsets are running sums of the lengths of the gaps and matches.
+    The offsets are running sums of the lengths of the gaps and matches. The
+    pattern is tried only on texts that hold one of ``signs``, if any are given:
+    each match must hold one of them as it is written.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -62,7 +64,13 @@ def find_all(text: Column, pattern: str) -> Column:
         row = F.struct(at.alias("start"), (at + F.length(pair["match"])).alias("end"), pair["match"].alias("text"))
         return F.concat(acc, F.array(row))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, none, step)).otherwise(none)
+    tried = text.rlike(pattern)
+    if signs:
+        held = F.contains(text, F.lit(signs[0]))
+        for sign in signs[1:]:
+            held = held | F.contains(text, F.lit(sign))
+        tried = F.when(held, tried).otherwise(False)
+    return F.when(tried, F.aggregate(pairs, none, step)).otherwise(none)
 
 
 def inside(ranges: Column, start: Column, end: Column) -> Column:

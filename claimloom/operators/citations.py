@@ -62,22 +62,22 @@ def mentions_of(text: Column, kind: Column, document: Column) -> Column:
     short = short_document_id(document)
 
     def with_trials(trials: Column) -> Column:
-        notes = F.when(short.isNotNull(), F.filter(find_all(text, PARENTHESISED), lambda m: ~inside(trials, m["start"], m["end"])))
+        notes = F.when(short.isNotNull(), F.filter(find_all(text, PARENTHESISED, "("), lambda m: ~inside(trials, m["start"], m["end"])))
         return F.concat(
             F.transform(trials, lambda m: _mention(m, "nct_id", F.concat(F.lit("nct_"), F.substring(group(m, TRIAL, 1), 4, 8)), F.lower(group(m, TRIAL, 1)))).cast(MENTION),
             F.coalesce(F.transform(notes, lambda m: _mention(m, "numeric_parenthetical", F.concat_ws("_", F.lit("footnote"), short, group(m, PARENTHESISED, 1)))).cast(MENTION), F.array().cast(MENTION)),
         )
 
     def with_lists(lists: Column) -> Column:
-        single = F.filter(find_all(text, BRACKETED), lambda m: ~inside(lists, m["start"], m["end"]))
+        single = F.filter(find_all(text, BRACKETED, "["), lambda m: ~inside(lists, m["start"], m["end"]))
         return F.concat(F.flatten(F.transform(lists, listed)).cast(MENTION), F.transform(single, lambda m: _mention(m, "numeric_bracketed", none)).cast(MENTION))
 
     forms = F.concat(
-        let(find_all(text, TRIAL), with_trials),
-        F.transform(find_all(text, GUIDELINE), lambda m: _mention(m, "named_guideline", F.concat_ws("_", F.replace(F.lower(group(m, GUIDELINE, 1)), F.lit("/"), F.lit("_")), group(m, GUIDELINE, 2)))),
-        F.transform(find_all(text, AUTHOR_YEAR), lambda m: _mention(m, "author_year_parenthetical", author_year_key(group(m, AUTHOR_YEAR, 1), group(m, AUTHOR_YEAR, 2)))),
-        let(find_all(text, BRACKETED_LIST), with_lists),
-        F.transform(find_all(text, REFERENCE), lambda m: _mention(m, "ref_id_numeric", F.concat(F.lit("ref_"), group(m, REFERENCE, 1)))),
+        let(find_all(text, TRIAL, "NCT"), with_trials),
+        F.transform(find_all(text, GUIDELINE, "uideline"), lambda m: _mention(m, "named_guideline", F.concat_ws("_", F.replace(F.lower(group(m, GUIDELINE, 1)), F.lit("/"), F.lit("_")), group(m, GUIDELINE, 2)))),
+        F.transform(find_all(text, AUTHOR_YEAR, "("), lambda m: _mention(m, "author_year_parenthetical", author_year_key(group(m, AUTHOR_YEAR, 1), group(m, AUTHOR_YEAR, 2)))),
+        let(find_all(text, BRACKETED_LIST, "["), with_lists),
+        F.transform(find_all(text, REFERENCE, "REF-"), lambda m: _mention(m, "ref_id_numeric", F.concat(F.lit("ref_"), group(m, REFERENCE, 1)))),
     )
     cell = strip(text)
     start = F.length(F.regexp_extract(text, rx(r"^[\s\x1c-\x1f]*"), 0))

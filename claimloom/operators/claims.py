@@ -94,26 +94,26 @@ def numeric(text: Column) -> Column:
     def given(both: Column) -> Column:
         shown = _with_text(both, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], PERCENT_CI, 1), strip(F.regexp_extract(m["text"], PERCENT_CI, 2))))
         free = lambda rows: F.filter(rows, lambda m: ~blocked(both, m["start"], m["end"]))
-        bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT)), free(find_all(text, PERCENT_WORD))))
+        bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT, "%")), free(find_all(text, PERCENT_WORD))))
         trimmed = lambda rows: _with_text(rows, lambda m: strip(m["text"]))
         return F.concat(
             _claims(F.concat(shown, trimmed(bare)), "numeric", "percentage"),
-            _claims(trimmed(free(find_all(text, CI_RANGE))), "numeric", "ci"),
-            _claims(find_all(text, COUNT), "numeric", "count"),
+            _claims(trimmed(free(find_all(text, CI_RANGE, "CI"))), "numeric", "ci"),
+            _claims(find_all(text, COUNT, "="), "numeric", "count"),
         )
 
-    return let(find_all(text, PERCENT_CI), given)
+    return let(find_all(text, PERCENT_CI, "%"), given)
 
 
 def value_unit(text: Column) -> Column:
     """Values with a unit in eight passes; what an earlier one took blocks later overlaps."""
     around = lambda m, n: F.substring(text, F.greatest(m["start"] - n, F.lit(0)) + 1, m["end"] + n - F.greatest(m["start"] - n, F.lit(0)))
-    tesla = F.filter(find_all(text, TESLA), lambda m: around(m, IMAGING_WINDOW).rlike(IMAGING))
+    tesla = F.filter(find_all(text, TESLA, "T"), lambda m: around(m, IMAGING_WINDOW).rlike(IMAGING))
     mark = F.locate(BURST_MARK, text) - 1
-    burst = F.filter(find_all(text, BURST), lambda m: (mark >= 0) & (F.abs(m["start"] - mark) <= BURST_WINDOW))
+    burst = F.filter(find_all(text, BURST, "RBP"), lambda m: (mark >= 0) & (F.abs(m["start"] - mark) <= BURST_WINDOW))
     wide = lambda m: F.when(mark < m["end"], F.substring(text, mark + 1, m["end"] - mark)).otherwise("")
     burst = F.transform(burst, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(i == 0, wide(m)).otherwise(m["text"]).alias("text")))
-    passes = [find_all(text, p) for p in (RANGE, MEAN_SD, DRIFT, WORDED, SIGNED, SINGLE)]
+    passes = [find_all(text, p, *signs) for p, *signs in ((RANGE,), (MEAN_SD, "±"), (DRIFT,), (WORDED,), (SIGNED, "≥", "≤", ">", "<"), (SINGLE,))]
     kept = F.aggregate(F.concat(*passes, tesla, burst).cast(FOUND), F.array().cast(FOUND), lambda acc, m: F.when(blocked(acc, m["start"], m["end"]), acc).otherwise(F.concat(acc, F.array(m))))
     return _claims(kept, "numeric", "value_unit")
 
@@ -126,7 +126,7 @@ def entities(text: Column) -> Column:
     standards = _with_text(standards, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], STANDARD, 1), F.regexp_extract(m["text"], STANDARD, 2)))
     return F.concat(
         _claims(first, "classification", "class", numbered=False),
-        _claims(find_all(text, MR_CONDITIONAL), "classification", "mr_conditional", "text"),
+        _claims(find_all(text, MR_CONDITIONAL, "MR"), "classification", "mr_conditional", "text"),
         _claims(find_all(text, BODY_NUMBER), "classification", "nb_number", "text"),
         _claims(labelled(UDI_LABEL, UDI_CODE), "classification", "basic_udi_di", "text"),
         _claims(labelled(EMDN_LABEL, EMDN_CODE), "classification", "emdn_code", "text"),
