@@ -23,7 +23,10 @@ def delivered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     Operators that work in the row of a span give equal rows for equal spans, so
     queries make their small results distinct instead of shuffling all texts.
     """
-    return table(spark, sf_dir, "spans").select(*SPAN)
+    rows = table(spark, sf_dir, "spans").select(*SPAN)
+    cores = spark.sparkContext.defaultParallelism
+    # A few small files would leave most cores idle; at scale a scan has more parts than that.
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
