@@ -1,20 +1,20 @@
 """Problem 6: passages of held-out test items inside a corpus.
 
 Pigeonhole matching: each item is cut into pieces of three words, so that every
-run of five consecutive words holds at least one whole piece, however the rest
+run of five consecutive words holds exactly one whole piece, however the rest
 is edited. An automaton over all pieces finds their exact hits in a document,
 blind to case, punctuation, spacing, look-alike and invisible characters. Items
-with enough pieces hit are verified: Myers' bit-parallel distance between the
-item and the stretch of the document around its hits settles passages that stand
-together, and the item's five-word runs are counted in the document, which also
-decides about items whose passages are scattered.
+whose pieces hit lie in enough runs are verified: Myers' bit-parallel distance
+between the item and the stretch of the document around its hits settles
+passages that stand together, and the item's five-word runs are counted in the
+document, which also decides about items whose passages are scattered.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -64,13 +64,16 @@ class Item:
         run, piece = min(RUN, len(found)), min(PIECE, len(found))
         self.letters = "".join(found)
         self.runs = ["".join(found[k : k + run]) for k in range(len(found) - run + 1)] if found else []
-        self.pieces = {"".join(found[k : k + piece]) for k in range(0, len(found) - piece + 1, piece)} if found else set()
+        self.pieces: dict[str, int] = {}  # each piece with the number of runs that hold it in its place
+        for k in range(len(self.runs)):
+            at = -(-k // piece) * piece
+            name = "".join(found[at : at + piece])
+            self.pieces[name] = self.pieces.get(name, 0) + 1
         self.needed = max(1, math.ceil(share * len(self.runs) - 1e-9))
 
-    def least_pieces(self) -> int:
-        """Pieces hit in any document that holds the runs needed: a piece lies in at most three runs."""
-        repeats = len(self.runs) - len(set(self.runs))
-        return max(1, math.ceil((self.needed - repeats) / (RUN - PIECE + 1)))
+    def may_hold(self, hit: Iterable[str]) -> bool:
+        """Whether a document with the pieces ``hit`` can hold the runs needed: every run held has its piece hit."""
+        return sum(self.pieces[x] for x in hit) >= self.needed
 
 
 def _held(text: str, joins: set[int], run: str) -> bool:
@@ -97,7 +100,7 @@ def search(items: list[Item], automaton: ahocorasick.Automaton, text: str | None
     joins: set[int] | None = None
     for k, pieces in hits.items():
         item = items[k]
-        if len(pieces) < item.least_pieces():
+        if not item.may_hold(pieces):
             continue
         if joins is None:
             joins, at = set(), 0

@@ -52,6 +52,23 @@ def test_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in found} == truth and truth
 
 
+def test_a_piece_that_stands_often_counts_for_all_its_runs(spark):
+    item = " ".join(f"serial sensor drift a{k} b{k} c{k}" for k in range(6))
+    scattered = " filler ".join(f"b{k} c{k} serial sensor drift a{k + 1} b{k + 1}" for k in range(4))
+    docs = [(1, scattered), (2, scattered.rsplit(" filler ", 1)[0]), (3, "serial sensor drift " * 9)]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [held(item, t) for _, t in docs] == [(12, 32), (9, 32), (0, 32)] and [r.doc_id for r in found] == [1]
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.5])
+def test_every_passage_of_the_runs_needed_is_verified(spark, sf_dir, share):
+    for row in spark.read.parquet(f"{sf_dir}/eval_items.parquet").collect():
+        item, found = L.Item(row.item_id, row.text, share), L.words(row.text)
+        for k in range(len(item.runs) - item.needed + 1):
+            letters = "".join(found[k : k + item.needed + L.RUN - 1])
+            assert item.may_hold(x for x in item.pieces if x in letters)
+
+
 @pytest.mark.parametrize("block", [20_000, 1])
 def test_look_case_spacing_and_edges(spark, block):
     docs = [
