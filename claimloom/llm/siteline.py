@@ -9,6 +9,9 @@ dossier, and blocks that span enough documents go.
 
 A block never spans more documents than its rarest line, so identifiers of
 lines that are too rare are left out beforehand without changing the result.
+
+What no class takes is counted by itself: each line left is compared with all
+lines of its dossier, so a line of which no spelling is frequent is found too.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from claimloom.sources.tables import small, written
 
 KINDS = ("page", "paragraph")
 CENTRE = 1 / 8  # share of the documents needed in which a centre's own key stands
+SALTS = 8  # parts of a piece where pieces are joined by a shuffle
 
 
 def line_key(line: Column) -> Column:
@@ -56,6 +60,12 @@ def _pieces(key: Column, p: Column, slack: int) -> Column:
     return F.array(cut(0, F.lit(1)), *places, cut(2, -p))
 
 
+def _offered(key: Column) -> Column:
+    """Hashes of the pieces of ``key`` that one of the pieces of any key near it equals."""
+    sizes = F.array_distinct(F.array(*[_piece(F.length(key) + d) for d in (-2, 0, 2)]))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda p: _pieces(key, p, 1))))
+
+
 def _near(lines: DataFrame, centres: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of the ``lines`` with each centre within the misread letters allowed.
 
@@ -66,14 +76,44 @@ def _near(lines: DataFrame, centres: DataFrame, *columns: str) -> DataFrame:
     ranges = centres.groupBy("dossier").agg(F.min(c).alias("least"), F.max(c).alias("most"))
     lines = lines.join(small(ranges), "dossier").where((n >= 4) & (n >= F.col("least") - 2) & (n <= F.col("most") + 2))
     asked = centres.where(c >= 4).withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("centre"), _piece(c), 0))))
-    sizes = F.array_distinct(F.array(*[_piece(n + d) for d in (-2, 0, 2)]))
-    held = F.array_distinct(F.flatten(F.transform(sizes, lambda p: _pieces(F.col("key"), p, 1))))
-    offered = lines.select("dossier", "key", *columns, F.explode(held).alias("piece"))
-    near = offered.join(small(asked), ["dossier", "piece"])
+    offered = lines.select("dossier", "key", *columns, F.explode(_offered(F.col("key"))).alias("piece"))
+    few = small(asked)
+    if few is asked:
+        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = offered.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(asked, ["dossier", "piece", "salt"])
+    else:
+        near = offered.join(few, ["dossier", "piece"])
     far = F.levenshtein("key", "centre", 2)
     return near.where((far >= 0) & (far <= _allowed(F.least(n, c)))).select("dossier", *columns, "class_id", "weight")
 
 
+def _left_over(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFrame:
+    """(dossier, key_id) of the keys around one of which, not ``gone`` itself, enough documents lie.
+
+    keyed: dossier, doc, key, key_id of each line; gone: dossier, key_id; size:
+    dossier, needed. The keys near another share one of its three pieces, so one
+    whose pieces stand in too few lines together is not compared. Pieces below a
+    third of those needed are not joined, but reckoned as just below it.
+    """
+    keys = keyed.where(F.length("key") >= 4).groupBy("dossier", "key_id").agg(F.count("*").alias("n_rows"), F.min("key").alias("key"))
+    keys = written(keys, "distinct-keys")
+    third = F.ceil(F.col("needed") / 3)
+    hot = keys.select("dossier", "n_rows", F.explode(_offered(F.col("key"))).alias("piece")).groupBy("dossier", "piece").agg(F.sum("n_rows").alias("of_piece"))
+    hot = written(hot.join(size, "dossier").where(F.col("of_piece") >= third), "frequent-pieces")
+    rest = keys.join(small(gone), ["dossier", "key_id"], "left_anti")
+    own = rest.select("dossier", "key_id", F.explode(_pieces(F.col("key"), _piece(F.length("key")), 0)).alias("piece"))
+    bound = own.join(small(hot), ["dossier", "piece"]).groupBy("dossier", "key_id", "needed")
+    bound = bound.agg(F.sum("of_piece").alias("n"), F.count("*").alias("n_hot")).where(F.col("n") + (3 - F.col("n_hot")) * (third - 1) >= F.col("needed"))
+    asked = rest.join(small(bound.select("dossier", "key_id", "needed")), ["dossier", "key_id"])
+    asked = written(asked.select("dossier", F.col("key_id").alias("class_id"), F.col("key").alias("centre"), F.col("needed").alias("weight")), "rare-centres")
+    near = written(_near(keys, asked, "key_id", "n_rows").distinct(), "near-rare")
+    may = near.groupBy("dossier", "class_id", "weight").agg(F.sum("n_rows").alias("n")).where("n >= weight").select("dossier", "class_id")
+    near = written(near.join(small(may), ["dossier", "class_id"], "left_semi"), "near-rare-frequent")
+    docs = keyed.select("dossier", "key_id", "doc").join(small(near), ["dossier", "key_id"]).select("dossier", "class_id", "weight", "doc").distinct()
+    often = docs.groupBy("dossier", "class_id", "weight").agg(F.count("*").alias("docs")).where("docs >= weight")
+    return near.join(small(often), ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct()
+
+
 def suffix_blocks(ids: np.ndarray, texts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Blocks of equal identifiers: for each length, (starts, group of each start, length).
 
@@ -129,7 +169,8 @@ def repeated_lines(
     least ``share`` and at least ``least`` of those documents of its dossier that
     have such spans, alone or within a block of up to ``longest`` lines. Misread
     lines are counted with a line that stands unmisread in two documents or more,
-    and in at least ``CENTRE`` of the documents needed.
+    and in at least ``CENTRE`` of the documents needed; where that takes them
+    nowhere, with any line.
 
     Null texts have no lines, but their document counts; blank lines never go;
     spans without a document or dossier give nothing, those without an id count
@@ -157,7 +198,7 @@ def repeated_lines(
 
     # A line lies in the class of its own key, if that is a centre, or else in those of the centres near it.
     own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "weight")
-    at = ("doc", "span_id", "line_no")
+    at = ("doc", "span_id", "line_no", "key_id")
     exact = keyed.join(small(own), ["dossier", "key_id"]).select("dossier", *at, "class_id", "weight")
     other = keyed.join(small(own.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti")
     met = written(exact.unionByName(_near(other, centres, *at)), "near-lines")
@@ -176,6 +217,9 @@ def repeated_lines(
     top = small(written(top.select("dossier", F.col("key_id").alias("class_id"), "top"), "top-classes"))
 
     # A line of several classes takes the one whose own key is the most frequent.
+    gone = written(met.join(small(often), ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct(), "keys-gone")
+    over = written(_left_over(keyed, gone, size), "keys-left-over")
+    at = at[:3]
     met = met.join(top, ["dossier", "class_id"])
     met = met.groupBy("dossier", *at).agg(F.max(F.struct("weight", "top"))["top"].alias("class_id"))
     each = F.array_sort(F.collect_list(F.struct("line_no", "class_id")))
@@ -185,7 +229,9 @@ def repeated_lines(
     spread = blocks.select("dossier", "block", "doc").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
     go = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "block"), "frequent-blocks")
     found = blocks.where("span_id is not null").join(small(go), ["dossier", "block"], "left_semi")
-    return found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no")).distinct()
+    found = found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no"))
+    more = keyed.where("span_id is not null").join(small(over), ["dossier", "key_id"], "left_semi")
+    return found.unionByName(more.select("span_id", "line_no")).distinct()
 
 
 def without_lines(spans: DataFrame, found: DataFrame) -> DataFrame:

@@ -77,6 +77,34 @@ def test_against_brute_force(spark):
     assert set(rows) == brute(spans, documents)
 
 
+NOTICE = "The local safety notice of the lower plant applies"
+
+
+def misread(n):
+    return NOTICE[:n] + "x" + NOTICE[n + 1 :]
+
+
+def test_a_line_of_rare_spellings_only(spark):
+    body = [f"Report {w * 5} about {w[::-1] * 4} of its own" for w in ("abcde", "fghij", "klmno", "pqrst", "uvwxy", "badce", "zyxwa", "efgcd", "hjikl", "nmopq", "srtuv", "wvyzx", "bdfhj", "acegi", "kmoqs", "lnprt", "uwyac", "vxzbd", "cfilo", "dgjmp")]
+    lines = [NOTICE, *map(misread, (4, 10, 17, 24))]
+    spans = [(f"s{d}", f"d{d}", "page", body[d] + ("\n" + lines[d] if d < len(lines) else "")) for d in range(20)]
+    documents = spark.createDataFrame([(f"d{d}", "x") for d in range(20)], DOCS)
+    found = S.repeated_lines(spark.createDataFrame(spans, SPANS), documents).collect()
+    assert sorted(tuple(r) for r in found) == [(f"s{d}", 2) for d in range(5)]
+    fewer = [x if x[0] != "s3" else (*x[:3], body[3]) for x in spans]
+    assert S.repeated_lines(spark.createDataFrame(fewer, SPANS), documents).count() == 0
+
+
+def test_a_clean_spelling_below_the_bar_takes_its_misreadings(spark):
+    places = [k for k, ch in enumerate(NOTICE) if ch.isalpha() and ch != "x"]
+    twice = [NOTICE[:a] + "q" + NOTICE[a + 1 : b] + "j" + NOTICE[b + 1 :] for a, b in zip(places[:18], places[20:38])]
+    lines = [NOTICE] * 2 + twice
+    spans = [(f"s{d}", f"d{d}", "page", lines[d] if d < 20 else None) for d in range(80)]
+    spans += [(f"other{d}", f"d{d}", "page", "The local safety notice of the upper stand applies") for d in range(3)]
+    found = S.repeated_lines(spark.createDataFrame(spans, SPANS), spark.createDataFrame([(f"d{d}", "x") for d in range(80)], DOCS)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"s{d}", 1) for d in range(20))
+
+
 def test_digit_lines_are_one_class_and_long_lines_pass(spark):
     spans = [(f"s{d}", f"d{d}", "page", f"{d}{d}\n" + "word " * 3000 + str(d)) for d in range(8)]
     found = S.repeated_lines(spark.createDataFrame(spans, SPANS), spark.createDataFrame([(f"d{d}", "x") for d in range(8)], DOCS)).collect()
