@@ -8,7 +8,8 @@ characters per tag, adjusted for links; the subtree whose children have the
 largest density sum is taken, and along its path to the body the siblings that
 reach the least density on that path.
 
-Headings, lists, code and formulas are structure, which the density rates low;
+Text that stands beside blocks in the same element is a node of its own, rated
+as they are. Headings, lists, code and formulas are structure, which the density rates low;
 beside the path they are kept unless most of their text is links.
 """
 
@@ -34,6 +35,7 @@ LATEX_DROP = set("cite citep citet ref eqref label pageref usepackage documentcl
 # End of the fixed values.
 
 HOLD, END = "\ue000", "\ue001"
+LOOSE = ""  # the tag of a run of text and inline elements that stands beside blocks
 DEEPEST = 100
 KEPT = re.compile(f"{HOLD}(\\d+){END}")
 NAME = r"[a-zA-Z][\w:-]*"
@@ -317,16 +319,25 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
         while top.parent and top.tag in until:
             top = top.parent
 
+    def run() -> Node:
+        """Where inline content goes: a run of its own, or the heading or item itself."""
+        if top.tag in HEADINGS or top.tag == "li":
+            return top
+        if not top.parts or not isinstance(top.parts[-1], Node) or top.parts[-1].tag != LOOSE:
+            top.parts.append(Node(LOOSE, top))
+        return top.parts[-1]
+
     def add(piece: str) -> None:
         k = 0
         for m in KEPT.finditer(piece):
-            top.parts.append(piece[k : m.start()])
+            run().parts.append(piece[k : m.start()])
             what, body = kept[int(m[1])]
-            node = Node(what, top)
+            to = top if what == "code_block" else run()
+            node = Node(what, to)
             node.parts.append(body)
-            top.parts.append(node if what != "text" else body.replace("&", "&amp;"))
+            to.parts.append(node if what != "text" else body.replace("&", "&amp;"))
             k = m.end()
-        top.parts.append(piece[k:])
+        run().parts.append(piece[k:])
 
     for m in TAG.finditer(text):
         add(text[at : m.start()])
@@ -334,7 +345,7 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
         if name in ("html", "body"):
             continue
         if name in VOID:
-            top.parts.append(" ")
+            run().parts.append(" ")
         elif name in HEADINGS | LISTS | TABLE | BLOCK | {"li"}:
             if not ends:
                 if name == "li":
@@ -347,7 +358,7 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
                     close({"p", "li"} | LISTS | TABLE | HEADINGS)
                 else:
                     close({"p"} | HEADINGS)
-                if top.tag == "div" and any(isinstance(p, str) and p.strip() for p in top.parts) and name not in LISTS:
+                if top.tag == "div" and any(isinstance(p, str) and p.strip() for r in top.parts if r.tag == LOOSE for p in r.parts) and name not in LISTS:
                     close({"div"})
                 if top.depth < DEEPEST or name in HEADINGS or name == "li":  # other elements nested deeper are passed over
                     node = Node(name, top)
@@ -360,14 +371,38 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
                 if up.parent and up.tag in alike:
                     top = up.parent
         else:
-            top.tags += 1
+            inline = run()
+            inline.tags += 1
             if name == "a" and not ends:
-                top.links += 1
-                top.linked += len(re.sub(r"<[^<>]*>", "", text[at : (text.find("</a", at) + 1 or len(text) + 1) - 1]))
+                inline.links += 1
+                inline.linked += len(re.sub(r"<[^<>]*>", "", text[at : (text.find("</a", at) + 1 or len(text) + 1) - 1]))
     add(text[at:])
+    _join_runs(root)
     return root, kept
 
 
+def _join_runs(root: Node) -> None:
+    """Puts runs that are blank, or stand beside no block, into their element itself."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        blocks = any(p.tag not in (LOOSE, "formula") for p in node.children())
+        joined: list[Node | str] = []
+        for part in node.parts:
+            if isinstance(part, str) or part.tag != LOOSE:
+                joined.append(part)
+                todo += [part] if isinstance(part, Node) else []
+            elif blocks and any(isinstance(p, Node) or p.strip() for p in part.parts):
+                joined.append(part)
+            else:
+                for p in part.parts:
+                    if isinstance(p, Node):
+                        p.parent = node
+                joined += part.parts
+                node.tags, node.links, node.linked = node.tags + part.tags, node.links + part.links, node.linked + part.linked
+        node.parts = joined
+
+
 def _measure(node: Node) -> None:
     """Characters, tags, links and linked characters of every subtree."""
     for part in node.parts:
@@ -375,7 +410,7 @@ def _measure(node: Node) -> None:
             node.chars += len(part.strip())
         else:
             _measure(part)
-            node.chars, node.tags = node.chars + part.chars, node.tags + part.tags + 1
+            node.chars, node.tags = node.chars + part.chars, node.tags + part.tags + (part.tag != LOOSE)
             node.links, node.linked = node.links + part.links, node.linked + part.linked
 
 
@@ -385,12 +420,13 @@ def _densities(node: Node, share: float) -> None:
     share: linked characters of the whole body per character. The density is the
     characters per tag, times a logarithm of characters per linked one and tags
     per link to a base that grows with the linked text; ones are added to keep
-    both logarithms above zero.
+    both logarithms above zero. Loose text does not decide where the body is, so
+    only the formulas in it count for the sum.
     """
     node.total = 0.0
     for child in node.children():
         _densities(child, share)
-        node.total += child.density
+        node.total += child.total if child.tag == LOOSE else child.density
     c, t, lc, lt = node.chars, max(1, node.tags), node.linked, node.links
     if c:
         plain = max(1, c - lc)
@@ -410,8 +446,12 @@ def content(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         todo += node.children()
-        if node.total > best.total:
+        if node.total > best.total and node.tag != LOOSE:
             best = node
+    node = best
+    while node.parent:  # an item is taken whole
+        node = node.parent
+        best = node if node.tag == "li" else best
     found, node, least = [best], best, best.density
     while node.parent:
         node = node.parent
@@ -422,6 +462,8 @@ def content(root: Node) -> list[Node]:
             structure = child.linked * 2 <= child.chars and _holds_structure(child)
             if child is not node and (child.density >= least or structure):
                 found.append(child)
+            elif child.tag == LOOSE:
+                found += child.children()
         node = node.parent
     chosen, ordered, todo = {id(n) for n in found}, [], [root]
     while todo:

@@ -142,6 +142,20 @@ def test_structure_beside_the_body_path_is_kept_in_order():
     assert M.clean(page).index("# First") < M.clean(page).index("Plain") < M.clean(page).index("## Second") < M.clean(page).index("- last")
 
 
+def test_loose_text_beside_the_body_path_is_rated():
+    body = "".join(f"<p>{'Plain running text of the article goes on. ' * 9}</p>" for _ in range(8))
+    lead = "The lead <em>itself</em> says in one <b>whole</b> sentence of prose, long enough to count, what this article is about. " * 3
+    menu = "".join(f'<a href="x">go to page {k}</a> ' for k in range(30))
+    text = M.clean(f"<html><body>{lead}<br><div>{body}</div>{menu}</body></html>")
+    assert " ".join(text.split("\n\n")[0].split()).startswith("The lead itself says in one whole sentence") and "Plain" in text and "go to page" not in text
+    assert "Lead in." in M.clean(f"<body><section>Lead in. {'Some more of this prose. ' * 40}<div>{body}</div></section></body>")
+    items = "".join(f"\\item {'A long item that goes on for quite a while here. ' * 9}\n" for _ in range(9))
+    latex = M.clean("\\begin{document}\n\\section{First}\n" + "Prose right after the heading. " * 40 + "\n\\begin{itemize}\n" + items + "\\end{itemize}\n\\end{document}")
+    assert "Prose right after the heading." in latex and "# First" in latex
+    nested = "".join(f"<li>{'Inner item text of some length here. ' * 9}</li>" for _ in range(9))
+    assert ("list_item", "Outer") in M.parts(f"<body><ul><li>Outer<ul>{nested}</ul></li></ul></body>")
+
+
 def test_deep_and_broken_nesting():
     for text in ("<div>" * 5000 + "<h1>T</h1>" + "</div>" * 9, "<ul><li>" * 5000 + "x", "\\begin{document}" + "\\section{" * 5000 + "T", "\\begin{document}\\textbf{" * 3000, "<h1>" * 3000 + "T", "{{" * 5000, "* " * 9000):
         M.parts(text), M.clean(text)
