@@ -213,10 +213,25 @@ def _markdown(text: str, kept: list[tuple[str, str]]) -> str:
     return "\n".join(out)
 
 
+def _without_templates(text: str) -> str:
+    """``text`` without templates in double braces, the inner ones first, in one pass."""
+    out: list[str] = []
+    braces: list[int] = []  # places in ``out`` of the braces that stand
+    for piece in re.split(r"([{}])", text):
+        if not piece:
+            continue
+        out.append(piece)
+        if piece in "{}":
+            braces.append(len(out) - 1)
+            a, b, c, d = braces[-4:] if len(braces) > 3 else (0, 0, 0, 0)
+            if b == a + 1 and d == c + 1 and out[a] == out[b] == "{" and out[c] == out[d] == "}":
+                del out[a:], braces[-4:]
+    return "".join(out)
+
+
 def _wiki(text: str) -> str:
     text = re.sub(r"\{\|.*?(?:^\|\}|\Z)", "", text, flags=re.S | re.M)
-    for _ in range(3):
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    text = _without_templates(text)
     text = re.sub(r"<ref\b[^<>]*/>", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "", text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"<a>\1</a>", text)

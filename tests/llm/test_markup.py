@@ -119,6 +119,13 @@ def test_wiki():
     ]
 
 
+def test_wiki_templates_of_any_depth():
+    nested = "{{a|" * 9 + "x\n== No heading ==\n* no item\n" + "}}" * 9
+    assert M.parts("== Real ==\n" + nested + "\nProse {5}.") == [("heading", "Real")]
+    assert M.clean("== Real ==\n" + nested + "Prose {5} and {{open.") == "## Real\n\nProse {5} and {{open."
+    assert M.clean("== Real ==\nProse." + "{{a|" * 50_000 + "}}" * 50_000) == "## Real\n\nProse."
+
+
 def test_clean_text_keeps_structure():
     text = M.clean(MARKDOWN)
     assert "# Title with code and bold" in text and "- Item one continued" in text and "```\n# no heading\n* no item $x$\n```" in text
