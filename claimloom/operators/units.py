@@ -19,8 +19,9 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from claimloom.sources.tables import small
+from claimloom.sources.tables import small, written
 
 # Quantity | unit | factor to the first unit of the quantity | added before it | spellings.
 UNITS = """
@@ -231,6 +232,13 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df[["gold_id", "label", "number", "found_quantity", "found_unit"]].astype({"number": "float64"})
 
 
+@F.pandas_udf(BooleanType())
+def _lacking(unit: pd.Series, value: pd.Series) -> pd.Series:
+    """Whether a field names no unit, or no number where the fact has none."""
+    read = [in_field(u, "") for u in unit]
+    return pd.Series([found is None or math.isnan(v) and not numbers for (numbers, found), v in zip(read, value.astype("float64"))], dtype="bool")
+
+
 def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcast_ids: int = 200_000) -> DataFrame:
     """Each fact in the common unit of its label.
 
@@ -252,12 +260,12 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     labels = labels.select("label", "quantity", "common_unit", "decimals").where("label is not null").dropDuplicates(["label"])
     facts = facts.join(small(labels), "label", "left")
     known = facts.where("common_unit is not null")
-    unsure = F.trim(F.coalesce("unit", F.lit(""))).rlike(r"^(|-|\?|n/?a|none|units?|see text)$") | F.col("value").isNull() & ~F.col("unit").rlike(r"\d")
-    lost = known.where(unsure)
+    known = written(known.withColumn("unsure", _lacking("unit", "value")), "facts")
+    lost = known.where("unsure")
     ids = lost.select("span_id").where("span_id is not null").distinct()
     texts = spans.select("span_id", "text").join(small(ids, broadcast_ids), "span_id", "left_semi")
     lost = lost.join(texts.dropDuplicates(["span_id"]), "span_id", "left")
-    both = known.where(~unsure).withColumn("text", F.lit(None).cast("string")).unionByName(lost)
+    both = known.where("not unsure").withColumn("text", F.lit(None).cast("string")).unionByName(lost)
     schema = "gold_id string, label string, number double, found_quantity string, found_unit string"
     read = both.select("gold_id", "label", "quantity", "value", "unit", "lower", "upper", "text").mapInPandas(_read, schema)
 

@@ -67,3 +67,14 @@ def test_facts(spark):
         assert {k: r.value_scaled for k, r in found.items() if r.status == "converted"} == {"a": 2000, "e": 35, "f": 100, "g": 27, "h": 29, "i": 28710, "j": 46, "o": 10, "p": -125}
     assert U.common_units(facts.limit(0), spans, labels).count() == U.common_units(facts, spans.limit(0), labels).where("status = 'converted' and gold_id = 'e'").count() == 0
     assert {r.status for r in U.common_units(facts, spans, labels.limit(0)).collect()} == {"unknown_label"}
+
+
+def test_the_span_is_read_wherever_the_field_lacks_unit_or_number(spark):
+    units = ["N/A", "See text", "see table", "unknown", "–", "\u00a0", "\u200b", "ca.", "0.0348"]
+    rows = [(f"u{k}", "s", "length_a", 0.0348, u, None) for k, u in enumerate(units)]
+    rows += [(f"v{k}", "t", label, None, u, None) for k, (label, u) in enumerate([("volume_a", "cm3"), ("pressure_a", "N/mm2"), ("pressure_a", "cmH2O"), ("rate_a", "per 1000"), ("pressure_a", "10^5 Pa")])]
+    text = "Volume a: 4.5 here. Pressure a: 2.5 there. Rate a: 7.5 of it."
+    spans = spark.createDataFrame([("s", "The length a was 0.0348 cm for 3."), ("t", text)], "span_id string, text string")
+    labels = spark.createDataFrame(LABELS, "label string, quantity string, common_unit string, decimals int")
+    found = {r.gold_id: (r.status, r.value_scaled) for r in U.common_units(spark.createDataFrame(rows, FACTS), spans, labels).collect()}
+    assert found == {f"u{k}": ("converted", 35) for k in range(len(units))} | {f"v{k}": ("converted", n) for k, n in enumerate((45, 25000, 2, 75, 2500))}
