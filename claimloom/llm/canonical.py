@@ -38,6 +38,7 @@ NUMBERED = re.compile(r"(?<![a-z])ref(?:erences?|s)?[^a-z0-9]*(?:n[or]\b|number)
 YEAR = re.compile(r"(?<!\d)((?:19|20)\d\d)(?!\d)")
 SHORT_YEAR = re.compile(r"(?:^|[^0-9a-z]|(?<=[a-z]))(\d\d)[a-z]?(?![0-9a-z])")
 DIGITS = str.maketrans("oil", "011")
+NOTHING = 1000  # rank of no entry
 
 
 def fold(text: str) -> str:
@@ -129,10 +130,10 @@ class Entries:
     def _add(self, names: tuple[str, ...]) -> None:
         self.automaton.add_word(f"|{'|'.join(names)}|", names)
 
-    def embedded(self, value: Value) -> str | None:
-        """The entry whose names stand in ``value``, beginning with its first."""
+    def embedded(self, value: Value) -> tuple[int, str] | None:
+        """The entry whose names stand in ``value``, beginning with its first; the least rank is the best."""
         if value.number:
-            return self.by_number.get(value.number)
+            return (-1, ref) if (ref := self.by_number.get(value.number)) else None
         text = f"|{'|'.join(value.names)}|"
         found: list[tuple[int, tuple[str, ...]]] = []
         for end, names in self.automaton.iter(text) if len(self.automaton) else ():
@@ -140,9 +141,9 @@ class Entries:
         at_first = [names for start, names in found if start == 0]
         for names in sorted(at_first, key=lambda n: -len(n)):
             if len(names) == len(value.names) and (ref := self.bodies.get((tuple(sorted(names)), value.year))):
-                return ref
+                return -2 * len(names) - 1, ref
             if ref := self.works.get((names[0], value.year)):
-                return ref
+                return -2 * len(names), ref
         return None
 
     @lru_cache(maxsize=100_000)
@@ -152,8 +153,8 @@ class Entries:
         rated = ((slips(word, n, allowed(n)), n) for n in names)
         return tuple(sorted((s, n) for s, n in rated if s is not None))
 
-    def similar(self, value: Value) -> str | None:
-        """The entry of the year whose token set is the most like the value's."""
+    def similar(self, value: Value) -> tuple[int, str | None] | None:
+        """Slips and entry of the year whose token set is the most like the value's; no entry at a tie."""
         if value.number or value.year is None or not value.names:
             return None
         best: list[tuple[int, str]] = []
@@ -168,14 +169,14 @@ class Entries:
                     if ref := self.bodies.get((names, value.year)):
                         best.append((s + t, ref))
         best.sort()
-        return best[0][1] if best and not any(s == best[0][0] and r != best[0][1] for s, r in best) else None
+        if not best:
+            return None
+        return best[0][0], None if any(s == best[0][0] and r != best[0][1] for s, r in best) else best[0][1]
 
-    def resolve(self, text: str) -> tuple[int, str] | None:
-        """(0 or 1, ref_id): found as it stands, or by similarity."""
+    def resolve(self, text: str) -> tuple[int, str | None] | None:
+        """(rank, ref_id): below zero if found as it stands, else the slips; ref_id is null at a tie."""
         value = Value(text)
-        if ref := self.embedded(value):
-            return 0, ref
-        return (1, ref) if (ref := self.similar(value)) else None
+        return self.embedded(value) or self.similar(value)
 
 
 @lru_cache(maxsize=4)
@@ -183,13 +184,24 @@ def _entries(rows: tuple[tuple[str, str, str, int | None], ...]) -> Entries:
     return Entries(rows)
 
 
+def _first_of_each(rows: list[tuple]) -> list[tuple]:
+    """``rows`` without entries of the same names and year, or number, as an earlier one."""
+    found: dict[tuple, tuple] = {}
+    for row in rows:
+        value, body = Value(row[1]), row[2] == "named_guideline"
+        if value.number:
+            found.setdefault((value.number,), row)
+        elif value.names:
+            found.setdefault((body, tuple(sorted(value.names)) if body else value.names[0], row[3] or value.year), row)
+    return list(found.values())
+
+
 def resolve(values: DataFrame, references: DataFrame, block: int = 50_000) -> DataFrame:
     """(record_id, ref_id): for each value the entry meant, or 'none'.
 
     values: record_id, value. references: ref_id, citation_key, form, pub_year.
     The list is read in blocks of at most ``block`` entries, each sent to every
-    executor; of several blocks, a name found as it stands goes before a similar
-    one. Null and blank values give 'none'; if two entries are equally similar
+    executor; over several blocks the same entry wins as in one. Null and blank values give 'none'; if two entries are equally similar
     the value gives 'none'; of entries with equal names the smallest ref_id
     stands; repeated rows count once; null record ids give no row; an empty list
     gives 'none' for every value.
@@ -207,19 +219,22 @@ def resolve(values: DataFrame, references: DataFrame, block: int = 50_000) -> Da
             for df in batches:
                 for v in set(df["value"]) - known.keys():
                     known[v] = entries.resolve(v) if v else None
-                found = [known[v] or (2, "none") for v in df["value"]]
-                yield pd.DataFrame({"record_id": df["record_id"], "way": [x[0] for x in found], "ref_id": [x[1] for x in found]})
+                found = [known[v] or (NOTHING, None) for v in df["value"]]
+                yield pd.DataFrame({"record_id": df["record_id"], "value": df["value"], "way": [x[0] for x in found], "ref_id": [x[1] or "none" for x in found]})
                 if len(known) > 200_000:
                     known.clear()
 
-        return values.mapInPandas(scan, "record_id string, way int, ref_id string")
+        return values.mapInPandas(scan, "record_id string, value string, way int, ref_id string")
 
+    rows = _first_of_each(rows) if len(rows) > block else rows
     parts = [tuple(rows[k : k + block]) for k in range(0, len(rows), block)] or [()]
     found = run(parts[0])
     for part in parts[1:]:
         found = found.unionByName(run(part))
     if len(parts) > 1:
-        found = found.groupBy("record_id").agg(F.min(F.struct("way", "ref_id"))["ref_id"].alias("ref_id"))
+        found = found.groupBy("record_id", "value", "way").agg(F.min("ref_id").alias("ref_id"), F.max("ref_id").alias("last"))
+        ref = F.when((F.col("way") >= 0) & (F.col("ref_id") != F.col("last")), "none").otherwise(F.col("ref_id"))
+        found = found.groupBy("record_id", "value").agg(F.min(F.struct("way", ref.alias("ref_id")))["ref_id"].alias("ref_id"))
     return found.select("record_id", "ref_id")
 
 

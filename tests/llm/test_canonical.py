@@ -76,3 +76,13 @@ def test_every_case_has_one_row(spark, sf_dir):
 
     found = p5_found(spark, sf_dir).collect()
     assert len({r.record_id for r in found}) == len(found) > 0
+
+
+def test_blocks_change_no_result(spark):
+    rows = [("A1", "skachosuin_2015"), ("B1", "skachosoen_2015"), ("C1", "tinhudrow_2001"), ("D1", "tinhudraw_2001"), ("E1", "skachosoen_2015")]
+    refs = spark.createDataFrame([(i, k, "author_year", int(k[-4:])) for i, k in rows], "ref_id string, citation_key string, form string, pub_year int")
+    values = [("m1", "Skachosoin 2015"), ("m2", "Skachosoenn 2015"), ("m3", "Tinhudrew 2001"), ("m4", "Skachosoen 2015"), ("m5", "Ulvkimek 2015")]
+    values = spark.createDataFrame(values, "record_id string, value string")
+    found = [sorted(map(tuple, C.resolve(values, refs, block).collect())) for block in (50_000, 2, 1)]
+    assert found[0] == found[1] == found[2]
+    assert dict(found[0])["m2"] == dict(found[0])["m4"] == "B1" and dict(found[0])["m3"] == dict(found[0])["m5"] == "none"
