@@ -1,26 +1,27 @@
 """Problem 3: lines that stand in many documents of one dossier.
 
 A line's key is its letters in one form and lower case, so that case, blanks,
-invisible signs, punctuation and digits do not count. Lines with one or two
-misread letters join the key around which they lie. Then, over the concatenated
-line identifiers of each batch of texts, a suffix array gives the repeated
-blocks of lines by common prefixes; their documents are counted over the whole
-dossier, and blocks that span enough documents go.
-
-A block never spans more documents than its rarest line, so identifiers of
-lines that are too rare are left out beforehand without changing the result.
-
-What no class takes is counted by itself: each line left is compared with all
-lines of its dossier, so a line of which no spelling is frequent is found too.
+invisible signs, punctuation and digits do not count. Keys that differ in one or
+two misread letters make a class around a key of theirs, its centre; the lines
+of a class have one identifier.
+
+The suffix array decides which lines go: every suffix of the identifiers of a
+text, all texts of all dossiers, sorted over the cluster by ranges. Suffixes that
+follow each other with a common prefix hold the same block of lines; blocks that
+span enough documents go. A block of one line is a repeated line; a longer block
+never spans more documents than the rarest of its lines.
+
+Centres are first the keys that stand unmisread in many documents; the keys that
+these leave are then all taken as centres, against all keys of their dossier, so
+a line of which no spelling is frequent is found too.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,10 @@ from claimloom.llm.lookalike import looks
 from claimloom.sources.tables import small, written
 
 KINDS = ("page", "paragraph")
-CENTRE = 1 / 8  # share of the documents needed in which a centre's own key stands
-SALTS = 8  # parts of a piece where pieces are joined by a shuffle
+CENTRE = 1 / 8  # share of the documents needed from which a key is a centre at once, not only in the second turn
+SPLIT = 20_000  # rows of one piece in one task
+PARITY = "etaoinsrhldcumfpgywbvkxj"  # letters whose counts are compared before the letters themselves
+BLOCKS = "dossier bigint, block bigint, n_lines int, doc bigint, span_id string, line_no int"
 
 
 def line_key(line: Column) -> Column:
@@ -49,125 +52,230 @@ def _piece(n: Column) -> Column:
 
 
 def _pieces(key: Column, p: Column, slack: int) -> Column:
-    """Hashes of the first, second and last piece; the second also moved by up to ``slack``.
+    """Hashes, with the dossier, of the first, second and last piece; the second also moved by up to ``slack``.
 
     Two misread letters leave one of three separate pieces whole: the first in
     its place, the last in its place from the end, or, with one slip before it,
     the second at most one place off.
     """
-    cut = lambda tag, start: F.xxhash64(F.lit(tag), p, F.substring(key, start, p))
+    cut = lambda tag, start: F.xxhash64("dossier", F.lit(tag), p, F.substring(key, start, p))
     places = [cut(1, p + 1 + s) for s in range(-slack, slack + 1)]
     return F.array(cut(0, F.lit(1)), *places, cut(2, -p))
 
 
+def _own(key: Column) -> Column:
+    return _pieces(key, _piece(F.length(key)), 0)
+
+
 def _offered(key: Column) -> Column:
     """Hashes of the pieces of ``key`` that one of the pieces of any key near it equals."""
-    sizes = F.array_distinct(F.array(*[_piece(F.length(key) + d) for d in (-2, 0, 2)]))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda p: _pieces(key, p, 1))))
+    low, high = _piece(F.length(key) - 2), _piece(F.length(key) + 2)
+    return F.when(low == high, _pieces(key, low, 1)).otherwise(F.concat(_pieces(key, low, 1), _pieces(key, high, 1)))
 
 
-def _near(lines: DataFrame, centres: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of the ``lines`` with each centre within the misread letters allowed.
+def _parity(key: Column) -> Column:
+    """A bit for each letter of ``PARITY`` that stands an odd number of times in ``key``.
 
-    lines: dossier, key and ``columns``; centres: dossier, class_id, centre,
-    weight. Rows repeat where several pieces meet.
+    A letter put in, left out or changed turns two bits at most, so two slips
+    turn no more than four.
+    """
+    bits = F.lit(0)
+    for k, letter in enumerate(PARITY):
+        n = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(letter), F.lit("")))
+        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(1)), k))
+    return bits
+
+
+def _may_be_near(n: Column, parity: Column, m: Column, other: Column) -> Column:
+    return (F.abs(n - m) <= 2) & (F.bit_count(parity.bitwiseXOR(other)) <= 4)
+
+
+def _is_near(key: Column, centre: Column) -> Column:
+    far = F.levenshtein(key, centre, 2)
+    return (far >= 0) & (far <= _allowed(F.least(F.length(key), F.length(centre))))
+
+
+def _near(lines: DataFrame, centres: DataFrame) -> DataFrame:
+    """(dossier, key_id, class_id, weight): keys with each other centre within the misread letters allowed.
+
+    lines: dossier, key, key_id, parity; centres: dossier, class_id, centre, weight, parity.
+    Only ids and parities are joined by a shuffle where the centres are too many
+    to be broadcast; the letters of the few pairs left are fetched then.
     """
     n, c = F.length("key"), F.length("centre")
     ranges = centres.groupBy("dossier").agg(F.min(c).alias("least"), F.max(c).alias("most"))
     lines = lines.join(small(ranges), "dossier").where((n >= 4) & (n >= F.col("least") - 2) & (n <= F.col("most") + 2))
-    asked = centres.where(c >= 4).withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("centre"), _piece(c), 0))))
-    offered = lines.select("dossier", "key", *columns, F.explode(_offered(F.col("key"))).alias("piece"))
+    asked = centres.where(c >= 4).withColumn("piece", F.explode(F.array_distinct(_own(F.col("centre")))))
+    asked = asked.select("piece", "class_id", "centre", "weight", F.col("parity").alias("of_centre"))
     few = small(asked)
-    if few is asked:
-        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        near = offered.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(asked, ["dossier", "piece", "salt"])
-    else:
-        near = offered.join(few, ["dossier", "piece"])
-    far = F.levenshtein("key", "centre", 2)
-    return near.where((far >= 0) & (far <= _allowed(F.least(n, c)))).select("dossier", *columns, "class_id", "weight")
-
-
-def _left_over(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFrame:
-    """(dossier, key_id) of the keys around one of which, not ``gone`` itself, enough documents lie.
-
-    keyed: dossier, doc, key, key_id of each line; gone: dossier, key_id; size:
-    dossier, needed. The keys near another share one of its three pieces, so one
-    whose pieces stand in too few lines together is not compared. Pieces below a
-    third of those needed are not joined, but reckoned as just below it.
+    if few is not asked:
+        offered = lines.select("dossier", "key", "key_id", "parity", F.explode(_offered(F.col("key"))).alias("piece"))
+        near = offered.join(few, "piece").where(_may_be_near(n, F.col("parity"), c, F.col("of_centre"))).where(_is_near(F.col("key"), F.col("centre")))
+        return near.where("key_id <> class_id").select("dossier", "key_id", "class_id", "weight").distinct()
+    offered = lines.select("dossier", "key_id", "parity", n.alias("m"), F.explode(_offered(F.col("key"))).alias("piece")).distinct()
+    asked = asked.select("piece", "class_id", "weight", "of_centre", c.alias("n"))
+    pairs = _met(offered, asked).where("key_id <> class_id").select("dossier", "key_id", "class_id", "weight").distinct()
+    texts = lines.select("dossier", "key_id", "key").dropDuplicates(["dossier", "key_id"])
+    pairs = pairs.join(texts, ["dossier", "key_id"]).join(centres.select("dossier", "class_id", "centre"), ["dossier", "class_id"])
+    return pairs.where(_is_near(F.col("key"), F.col("centre"))).select("dossier", "key_id", "class_id", "weight")
+
+
+def _met(offered: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of both that share a piece, are alike in length and parity; pieces of many rows are split.
+
+    offered: piece, m, parity and others; asked: piece, n, of_centre and others.
+    """
+    hot = small(offered.groupBy("piece").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT))
+    salts = F.coalesce(F.ceil(F.col("rows") / SPLIT), F.lit(1))
+    asked = asked.join(hot, "piece", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).drop("rows")
+    asked = asked.withColumn("m", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)))
+    offered = offered.join(hot, "piece", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("rows")
+    near = offered.join(asked, ["piece", "m", "salt"])
+    return near.where(_may_be_near(F.col("n"), F.col("of_centre"), F.col("m"), F.col("parity")))
+
+
+def _rare_centres(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFrame:
+    """dossier, class_id, centre, weight, parity: keys not ``gone`` around which enough documents may lie.
+
+    Nothing is lost: a key near another holds one of the three pieces of it, so
+    keys whose pieces stand in too few lines together are left out; so are those
+    that share pieces, lengths and parities of letters with too few documents.
+    Pieces of less than a third of the documents needed are not joined, but
+    reckoned as just below it.
     """
-    keys = keyed.where(F.length("key") >= 4).groupBy("dossier", "key_id").agg(F.count("*").alias("n_rows"), F.min("key").alias("key"))
-    keys = written(keys, "distinct-keys")
+    keyed = keyed.where(F.length("key") >= 4).join(size, "dossier")
     third = F.ceil(F.col("needed") / 3)
-    hot = keys.select("dossier", "n_rows", F.explode(_offered(F.col("key"))).alias("piece")).groupBy("dossier", "piece").agg(F.sum("n_rows").alias("of_piece"))
-    hot = written(hot.join(size, "dossier").where(F.col("of_piece") >= third), "frequent-pieces")
-    rest = keys.join(small(gone), ["dossier", "key_id"], "left_anti")
-    own = rest.select("dossier", "key_id", F.explode(_pieces(F.col("key"), _piece(F.length("key")), 0)).alias("piece"))
-    bound = own.join(small(hot), ["dossier", "piece"]).groupBy("dossier", "key_id", "needed")
-    bound = bound.agg(F.sum("of_piece").alias("n"), F.count("*").alias("n_hot")).where(F.col("n") + (3 - F.col("n_hot")) * (third - 1) >= F.col("needed"))
-    asked = rest.join(small(bound.select("dossier", "key_id", "needed")), ["dossier", "key_id"])
-    asked = written(asked.select("dossier", F.col("key_id").alias("class_id"), F.col("key").alias("centre"), F.col("needed").alias("weight")), "rare-centres")
-    near = written(_near(keys, asked, "key_id", "n_rows").distinct(), "near-rare")
-    may = near.groupBy("dossier", "class_id", "weight").agg(F.sum("n_rows").alias("n")).where("n >= weight").select("dossier", "class_id")
-    near = written(near.join(small(may), ["dossier", "class_id"], "left_semi"), "near-rare-frequent")
-    docs = keyed.select("dossier", "key_id", "doc").join(small(near), ["dossier", "key_id"]).select("dossier", "class_id", "weight", "doc").distinct()
-    often = docs.groupBy("dossier", "class_id", "weight").agg(F.count("*").alias("docs")).where("docs >= weight")
-    return near.join(small(often), ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct()
-
-
-def suffix_blocks(ids: np.ndarray, texts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Blocks of equal identifiers: for each length, (starts, group of each start, length).
-
-    ids: line identifiers of all texts, one after another; texts: the text of
-    each. The suffixes, none running past its text or ``longest`` lines, are
-    sorted; suffixes that follow each other with a common prefix of n lines or
-    more hold the same block of n lines.
+    hot = keyed.select("needed", F.explode(_offered(F.col("key"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("of_piece"), F.max("needed").alias("needed"))
+    hot = small(written(hot.where(F.col("of_piece") >= third).select("piece", "of_piece"), "frequent-pieces"), 1_000_000)
+    rest = keyed.join(small(gone), ["dossier", "key_id"], "left_anti")
+    own = rest.select("dossier", "key_id", "parity", "needed", F.length("key").alias("n"), F.posexplode(_own(F.col("key"))).alias("place", "piece")).join(hot, "piece")
+    at = [F.max(F.when(F.col("place") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("piece", "of_piece")]
+    own = own.groupBy("dossier", "key_id", "parity", "needed", "n").agg(*at)
+    missed = third - 1
+    own = own.where(sum(F.coalesce(F.col(f"of_piece{k}"), missed) for k in range(3)) >= F.col("needed"))
+    own = written(own, "rare-keys")
+    asked = own.select("dossier", F.col("key_id").alias("class_id"), F.col("parity").alias("of_centre"), "n", F.explode(F.array_distinct(F.array_compact(F.array("piece0", "piece1", "piece2")))).alias("piece"))
+    offered = keyed.select("doc", "parity", F.length("key").alias("m"), F.explode(_offered(F.col("key"))).alias("piece")).join(hot.select("piece"), "piece")
+    offered = written(offered.distinct(), "frequent-offers")
+    docs = _met(offered, asked).select("dossier", "class_id", "doc").distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("docs"))
+    n_hot = sum(F.col(f"piece{k}").isNotNull().cast("int") for k in range(3))
+    may = docs.join(own.select("dossier", F.col("key_id").alias("class_id"), "needed", n_hot.alias("n_hot")), ["dossier", "class_id"])
+    may = written(may.where(F.col("docs") + (3 - F.col("n_hot")) * missed >= F.col("needed")).select("dossier", F.col("class_id").alias("key_id")), "rare-centre-ids")
+    found = rest.join(small(may), ["dossier", "key_id"]).groupBy("dossier", "key_id").agg(F.min("key").alias("centre"), F.min("parity").alias("parity"))
+    return written(found.select("dossier", F.col("key_id").alias("class_id"), "centre", F.lit(1).cast("bigint").alias("weight"), "parity"), "rare-centres")
+
+
+def suffixes(rows: np.ndarray, lines: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
+    """For each identifier, itself and those of up to ``longest`` - 1 lines that follow it, else 0.
+
+    rows: the text of each identifier; lines: its line. They are in order, with
+    the identifiers of one line, the one it is known by first, side by side; a
+    suffix may begin with any of them.
     """
-    n = len(ids)
-    ranks = np.unique(ids, return_inverse=True)[1].astype(np.int64) + 1
-    columns = np.zeros((longest, n), dtype=np.int64)
-    for k in range(min(longest, n)):
-        columns[k, : n - k] = np.where(texts[k:] == texts[: n - k], ranks[k:], 0)
-    order = np.lexsort(columns[::-1])
-    ordered = columns[:, order]
-    same = np.ones(max(0, n - 1), dtype=bool)
-    for k in range(longest):
-        same &= (ordered[k, 1:] == ordered[k, :-1]) & (ordered[k, 1:] > 0)
-        whole = ordered[k] > 0
-        if not whole.any():
-            return
-        group = np.concatenate([[0], np.cumsum(~same)])
-        yield order[whole], group[whole], k + 1
-
-
-def _blocks(longest: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            sizes = df["lines"].map(len).to_numpy()
-            rows = np.repeat(np.arange(len(df)), sizes)
-            lines = np.array([x["line_no"] for v in df["lines"] for x in v], dtype=np.int32)
-            ids = np.array([x["class_id"] for v in df["lines"] for x in v], dtype=np.int64)
-            breaks = np.ones(len(ids), dtype=bool)  # identifiers left out end a run of lines
-            breaks[1:] = (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1] + 1)
-            dossiers, docs, spans = (df[c].to_numpy() for c in ("dossier", "doc", "span_id"))
-            for starts, groups, n in suffix_blocks(ids, np.cumsum(breaks), longest):
-                first = np.unique(groups, return_index=True)[1]
-                names = [hashlib.blake2b(ids[starts[i] : starts[i] + n].tobytes(), digest_size=8).digest() for i in first]
-                names = np.frombuffer(b"".join(names), dtype=np.int64)[np.unique(groups, return_inverse=True)[1]]
-                of = rows[starts]
-                yield pd.DataFrame({"dossier": dossiers[of], "block": names, "n_lines": n, "doc": docs[of], "span_id": spans[of], "line_no": lines[starts]})
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])
+    at = np.flatnonzero(first)
+    place = np.cumsum(first) - 1
+    out = np.zeros((longest, len(ids)), dtype=np.int64)
+    out[:1] = ids
+    runs = np.ones(len(ids), dtype=bool)
+    for k in range(1, longest):
+        to = place + k
+        runs &= to < len(at)
+        there = at[np.minimum(to, len(at) - 1)]
+        runs &= (rows[there] == rows) & (lines[there] == lines + k)
+        out[k] = np.where(runs, ids[there], 0)
+    return out
+
+
+def common_prefixes(columns: np.ndarray) -> np.ndarray:
+    """How many identifiers each sorted suffix shares with the one before it."""
+    same = (columns[:, 1:] == columns[:, :-1]) & (columns[:, 1:] != 0)
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.logical_and.accumulate(same, 0).sum(0)])[: columns.shape[1]]
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+        return ((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def _suffix_rows(longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("lines")
+            rows = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            line, ids = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            found = suffixes(rows, line, ids, longest)
+            columns = [batch.column(c).take(pa.array(rows)) for c in ("dossier", "doc", "span_id")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(line, pa.int32()), *map(pa.array, found)], ["dossier", "doc", "span_id", "line_no", *_names(longest)])
 
     return run
 
 
+def _names(longest: int) -> list[str]:
+    return [f"id{k}" for k in range(longest)]
+
+
+def _block_rows(longest: int):
+    """Blocks of sorted suffixes. One that only a single suffix of a batch holds is left out, but at the ends of the batch, where it may go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = np.array([batch.column(c).to_numpy() for c in _names(longest)])
+            columns = columns.reshape(longest, len(batch))
+            shared = common_prefixes(columns)
+            name = columns[0]
+            for k in range(longest):
+                if k:
+                    name = _mixed(name, columns[k])
+                whole = columns[k] != 0
+                if len(whole) == 0:
+                    break
+                meets = shared > k
+                meets[0] = True
+                meets = meets | np.append(meets[1:], True)
+                at = np.flatnonzero(whole & meets)
+                if len(at):
+                    take = pa.array(at)
+                    dossier, doc, span, line = (batch.column(c).take(take) for c in ("dossier", "doc", "span_id", "line_no"))
+                    yield pa.RecordBatch.from_arrays([dossier, pa.array(name[at]), pa.array(np.full(len(at), k + 1, dtype=np.int32)), doc, span, line], ["dossier", "block", "n_lines", "doc", "span_id", "line_no"])
+
+    return run
+
+
+def blocks_of(met: DataFrame, size: DataFrame, longest: int) -> DataFrame:
+    """dossier, block, n_lines, span_id, line_no: where a block of lines begins that spans enough documents.
+
+    met: dossier, doc, span_id, line_no, class_id, weight of each line and class
+    of it; size: dossier, needed. A block of one line is named by its class.
+    Suffixes end after ``longest`` identifiers: a longer block is covered by
+    shorter ones of as many documents.
+    """
+    each = F.array_sort(F.collect_list(F.struct("line_no", (-F.col("weight")).alias("least"), "class_id")))
+    texts = met.groupBy("dossier", "doc", "span_id").agg(each.alias("lines"))
+    names = _names(longest)
+    schema = "dossier bigint, doc bigint, span_id string, line_no int, " + ", ".join(f"{c} bigint" for c in names)
+    ordered = written(texts.mapInArrow(_suffix_rows(longest), schema), "suffixes")
+    order = ["dossier", *names, "doc"]
+    parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = written(ordered.mapInArrow(_block_rows(longest), BLOCKS), "blocks")
+    spread = found.select("dossier", "block", "doc").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
+    go = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "block"), "frequent-blocks")
+    return found.join(small(go), ["dossier", "block"], "left_semi").drop("doc")
+
+
 def repeated_lines(
-    spans: DataFrame, documents: DataFrame, share: float = 0.25, least: int = 5, longest: int = 4
+    spans: DataFrame, documents: DataFrame, share: float = 0.25, least: int = 5, shortest: int = 1, longest: int = 4
 ) -> DataFrame:
     """(span_id, line_no) of the lines to remove, counted from 1.
 
     spans: span_id, document_id, location_kind, text; only pages and paragraphs
-    count. documents: document_id, dossier_id. A line goes if it stands in at
-    least ``share`` and at least ``least`` of those documents of its dossier that
-    have such spans, alone or within a block of up to ``longest`` lines. Misread
+    count. documents: document_id, dossier_id. A line goes if it stands within a
+    block of ``shortest`` lines or more that at least ``share`` and at least
+    ``least`` of those documents of its dossier hold that have such spans. Misread
     lines are counted with a line that stands unmisread in two documents or more,
     and in at least ``CENTRE`` of the documents needed; where that takes them
     nowhere, with any line.
@@ -182,7 +290,7 @@ def repeated_lines(
     spans = spans.select("dossier", F.xxhash64("document_id").alias("doc"), "span_id", looks(F.col("text"), bare=True).alias("text"))
     lines = spans.select("dossier", "doc", "span_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
-    lines = written(lines.withColumn("key_id", F.xxhash64("key")), "lines")
+    lines = written(lines.withColumns({"key_id": F.xxhash64("key"), "parity": _parity(F.col("key"))}), "lines")
 
     size = lines.select("dossier", "doc").distinct().groupBy("dossier").agg(F.count("*").alias("of_docs"))
     size = size.select("dossier", F.greatest(F.lit(least), F.ceil(F.col("of_docs") * share)).alias("needed"))
@@ -191,47 +299,26 @@ def repeated_lines(
     unmisread = F.greatest(F.lit(2), F.ceil(F.col("needed") * CENTRE))
     rows = keyed.groupBy("dossier", "key_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     rows = rows.join(size, "dossier").where(F.col("n_rows") >= unmisread).select("dossier", "key_id")
-    docs = keyed.join(small(written(rows, "line-keys")), ["dossier", "key_id"], "left_semi").groupBy("dossier", "key_id", "doc").agg(F.min("key").alias("key"))
-    docs = docs.groupBy("dossier", "key_id").agg(F.count("*").alias("weight"), F.min("key").alias("centre"))
+    docs = keyed.join(small(written(rows, "line-keys")), ["dossier", "key_id"], "left_semi").groupBy("dossier", "key_id", "doc").agg(F.min("key").alias("key"), F.min("parity").alias("parity"))
+    docs = docs.groupBy("dossier", "key_id").agg(F.count("*").alias("weight"), F.min("key").alias("centre"), F.min("parity").alias("parity"))
     docs = docs.join(size, "dossier").where(F.col("weight") >= unmisread)
-    centres = written(docs.select("dossier", F.col("key_id").alias("class_id"), "centre", "weight"), "line-centres")
-
-    # A line lies in the class of its own key, if that is a centre, or else in those of the centres near it.
-    own = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "weight")
-    at = ("doc", "span_id", "line_no", "key_id")
-    exact = keyed.join(small(own), ["dossier", "key_id"]).select("dossier", *at, "class_id", "weight")
-    other = keyed.join(small(own.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti")
-    met = written(exact.unionByName(_near(other, centres, *at)), "near-lines")
-    beside = centres.select("dossier", F.col("class_id").alias("key_id"), F.col("centre").alias("key"))
-    itself = own.select("dossier", "key_id", "class_id", "weight")
-    beside = written(_near(beside, centres, "key_id").unionByName(itself).distinct(), "near-centres")
-
-    # The documents of a class: of the lines in it, and of the lines of the centres near it.
-    spread = met.select("dossier", "class_id", "doc").distinct()
-    more = beside.where("key_id <> class_id").select("dossier", "key_id", F.col("class_id").alias("to"))
-    more = spread.join(small(more), (spread["dossier"] == more["dossier"]) & (spread["class_id"] == more["key_id"])).select(spread["dossier"], F.col("to").alias("class_id"), "doc")
-    spread = spread.unionByName(more).distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("docs"))
-    often = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "class_id"), "classes")
-    best = F.max(F.struct("weight", "class_id"))["class_id"].alias("top")
-    top = beside.join(small(often), ["dossier", "class_id"], "left_semi").groupBy("dossier", "key_id").agg(best)
-    top = small(written(top.select("dossier", F.col("key_id").alias("class_id"), "top"), "top-classes"))
-
-    # A line of several classes takes the one whose own key is the most frequent.
-    gone = written(met.join(small(often), ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct(), "keys-gone")
-    over = written(_left_over(keyed, gone, size), "keys-left-over")
-    at = at[:3]
-    met = met.join(top, ["dossier", "class_id"])
-    met = met.groupBy("dossier", *at).agg(F.max(F.struct("weight", "top"))["top"].alias("class_id"))
-    each = F.array_sort(F.collect_list(F.struct("line_no", "class_id")))
-    texts = met.groupBy("dossier", "doc", "span_id").agg(each.alias("lines"))
-    schema = "dossier bigint, block bigint, n_lines int, doc bigint, span_id string, line_no int"
-    blocks = written(texts.mapInPandas(_blocks(longest), schema), "line-blocks")
-    spread = blocks.select("dossier", "block", "doc").distinct().groupBy("dossier", "block").agg(F.count("*").alias("docs"))
-    go = written(spread.join(size, "dossier").where("docs >= needed").select("dossier", "block"), "frequent-blocks")
-    found = blocks.where("span_id is not null").join(small(go), ["dossier", "block"], "left_semi")
-    found = found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no"))
-    more = keyed.where("span_id is not null").join(small(over), ["dossier", "key_id"], "left_semi")
-    return found.unionByName(more.select("span_id", "line_no")).distinct()
+    centres = written(docs.select("dossier", F.col("key_id").alias("class_id"), "centre", "weight", "parity"), "line-centres")
+
+    found, gone = _turn(keyed, centres, size, longest, "frequent")
+    rare = _rare_centres(keyed, gone, size)
+    found = found.unionByName(_turn(keyed, rare, size, longest, "rare")[0]).where((F.col("n_lines") >= shortest) & F.col("span_id").isNotNull())
+    return found.select("span_id", F.explode(F.expr("sequence(line_no, line_no + n_lines - 1)")).alias("line_no")).distinct()
+
+
+def _turn(keyed: DataFrame, centres: DataFrame, size: DataFrame, longest: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks of lines in the classes around ``centres`` that span enough documents, and (dossier, key_id) of the keys in such classes."""
+    itself = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "weight")
+    members = written(itself.unionByName(_near(keyed, centres)), f"{name}-members")
+    met = keyed.join(small(members), ["dossier", "key_id"]).select("dossier", "doc", "span_id", "line_no", "class_id", "weight")
+    found = blocks_of(met, size, longest)
+    classes = found.where("n_lines = 1").select("dossier", F.col("block").alias("class_id")).distinct()
+    gone = members.join(classes, ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct()
+    return found, written(gone, f"{name}-keys-gone")
 
 
 def without_lines(spans: DataFrame, found: DataFrame) -> DataFrame:

@@ -40,12 +40,17 @@ def brute(spans, documents, share=0.25, least=5):
     gone = defaultdict(set)
     for dossier, found in keys.items():
         needed = max(least, -(-len(docs[dossier]) * share // 1))
-        for centre, at in found.items():
-            if len(at) < max(2, needed * S.CENTRE):
-                continue
-            near = {k for k in found if k == centre or min(len(k), len(centre)) >= 4 and distance(k, centre) <= (2 if min(len(k), len(centre)) >= 6 else 1)}
-            if len(set().union(*(found[k] for k in near))) >= needed:
-                gone[dossier] |= near
+
+        def around(centres):
+            out = set()
+            for centre in centres:
+                near = {k for k in found if k == centre or min(len(k), len(centre)) >= 4 and abs(len(k) - len(centre)) <= 2 and distance(k, centre) <= (2 if min(len(k), len(centre)) >= 6 else 1)}
+                if len(set().union(*(found[k] for k in near))) >= needed:
+                    out |= near
+            return out
+
+        gone[dossier] = around(k for k, at in found.items() if len(at) >= max(2, needed * S.CENTRE))
+        gone[dossier] |= around(k for k in found if len(k) >= 4 and k not in gone[dossier])
     return {(s, i) for dossier, s, i, k in lines if k in gone[dossier] and s is not None}
 
 
@@ -116,19 +121,53 @@ def test_empty_tables(spark):
     assert S.repeated_lines(spans, documents).count() == 0
 
 
-def test_suffix_blocks_against_all_substrings():
+def test_suffixes_and_common_prefixes():
     rng = np.random.default_rng(1)
-    ids, texts = rng.integers(0, 3, 60), np.sort(rng.integers(0, 12, 60))
-    made = {}
-    for starts, groups, n in S.suffix_blocks(ids, texts, 4):
-        for i, g in zip(starts, groups):
-            made.setdefault(n, defaultdict(set))[g].add(int(i))
-    for n in range(1, 5):
-        whole = defaultdict(set)
-        for i in range(61 - n):
-            if len(set(texts[i : i + n])) == 1:
-                whole[tuple(ids[i : i + n])].add(i)
-        assert sorted(map(sorted, made.get(n, {}).values())) == sorted(map(sorted, whole.values()))
+    rows, lines, ids = np.sort(rng.integers(0, 9, 60)), np.arange(60), rng.integers(1, 4, 60)
+    lines = lines + np.cumsum(rng.random(60) < 0.1)  # some lines have no identifier
+    columns = S.suffixes(rows, lines, ids, 4)
+    for i in range(60):
+        run = [int(ids[i])]
+        while len(run) < 4 and i + len(run) < 60 and rows[i + len(run)] == rows[i] and lines[i + len(run)] == lines[i] + len(run):
+            run.append(int(ids[i + len(run)]))
+        assert columns[:, i].tolist() == run + [0] * (4 - len(run))
+    columns = columns[:, np.lexsort(columns[::-1])]
+    for i, n in enumerate(S.common_prefixes(columns)[1:], 1):
+        a, b = (c[c != 0].tolist() for c in (columns[:, i - 1], columns[:, i]))
+        assert n == next((k for k in range(4) if k >= min(len(a), len(b)) or a[k] != b[k]), 4)
+
+
+def test_a_line_of_two_classes_begins_two_suffixes():
+    columns = S.suffixes(np.array([0, 0, 0]), np.array([1, 1, 2]), np.array([7, 8, 9]), 2)
+    assert columns.T.tolist() == [[7, 9], [8, 9], [9, 0]]
+
+
+def block_spans():
+    """Twelve documents: a pair of lines in nine of them, its first line also alone, a lone line in ten."""
+    out = []
+    for d in range(12):
+        body = "".join(chr(97 + (d * 7 + k * 5) % 26) for k in range(30))
+        pair = ["Printed copies are not controlled", "Ask the register before use"] if d < 9 else ["Printed copies are not controlled"]
+        out.append((f"s{d}", f"d{d}", "page", "\n".join([*pair, body, *(["Prepared by the device group"] if d > 1 else [])])))
+    return out
+
+
+def test_the_suffix_array_decides(spark, monkeypatch):
+    spans, documents = spark.createDataFrame(block_spans(), SPANS), spark.createDataFrame([(f"d{d}", "x") for d in range(12)], DOCS)
+    one = {tuple(r) for r in S.repeated_lines(spans, documents).collect()}
+    assert one == brute(block_spans(), [(f"d{d}", "x") for d in range(12)])
+    two = {tuple(r) for r in S.repeated_lines(spans, documents, shortest=2).collect()}
+    assert two == {(f"s{d}", n) for d in range(9) for n in (1, 2)}
+    monkeypatch.setattr(S, "suffixes", lambda rows, lines, ids, longest: np.zeros((longest, len(ids)), dtype=np.int64))
+    assert S.repeated_lines(spans, documents).count() == 0
+
+
+def test_the_same_without_broadcasts(spark, monkeypatch):
+    spans, documents = dossier(5)
+    monkeypatch.setattr(S, "small", lambda df, *_: df)
+    monkeypatch.setattr(S, "SPLIT", 3)
+    found = S.repeated_lines(spark.createDataFrame(spans, SPANS), spark.createDataFrame(documents, DOCS)).collect()
+    assert {tuple(r) for r in found} == brute(spans, documents)
 
 
 def test_without_lines(spark):
