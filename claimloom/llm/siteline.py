@@ -30,14 +30,16 @@ from claimloom.sources.tables import small, written
 
 KINDS = ("page", "paragraph")
 CENTRE = 1 / 8  # share of the documents needed from which a key is a centre at once, not only in the second turn
+SHORT = 64  # letters of a key that is carried along where pieces are joined
 SPLIT = 20_000  # rows of one piece in one task
-PARITY = "etaoinsrhldcumfpgywbvkxj"  # letters whose counts are compared before the letters themselves
+COUNTED, MORE = "etaons", "irlduc"  # letters whose counts are compared before the letters themselves; more of them in short keys
 BLOCKS = "dossier bigint, block bigint, n_lines int, doc bigint, span_id string, line_no int"
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: Column, ascii_only: Column) -> Column:
     """The letters of a ``line`` in one form; "#" for one of digits or signs only."""
-    letters = F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
+    low = F.lower(line)
+    letters = F.when(ascii_only, F.regexp_replace(low, "[^a-z]+", "")).otherwise(F.regexp_replace(low, r"[^\p{L}]+", ""))
     return F.when(letters != "", letters).when(line.rlike(r"\S"), "#")
 
 
@@ -46,48 +48,72 @@ def _allowed(n: Column) -> Column:
     return F.when(n >= 6, 2).when(n >= 4, 1).otherwise(0)
 
 
-def _piece(n: Column) -> Column:
-    """Length of a piece for keys of ``n`` letters: the largest power of two up to n / 3."""
-    return F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(3)) / 3 + F.lit(1e-9)))).cast("int")
+def _code(n: Column) -> Column:
+    """The size of a piece of keys of ``n`` letters, as a power of two up to n / 3, and the range of eight lengths."""
+    size = F.floor(F.log2(F.greatest(n, F.lit(3)) / 3 + F.lit(1e-9)))
+    return (F.floor(n / 8) * 64 + size).cast("int")
 
 
-def _pieces(key: Column, p: Column, slack: int) -> Column:
-    """Hashes, with the dossier, of the first, second and last piece; the second also moved by up to ``slack``.
+def _pieces(key: Column, code: Column, slack: int) -> Column:
+    """Hashes, with the dossier and the code, of the first, second and last piece; the second also moved by up to ``slack``.
 
     Two misread letters leave one of three separate pieces whole: the first in
     its place, the last in its place from the end, or, with one slip before it,
     the second at most one place off.
     """
-    cut = lambda tag, start: F.xxhash64("dossier", F.lit(tag), p, F.substring(key, start, p))
+    p = F.col("size")
+    cut = lambda tag, start: F.xxhash64("dossier", F.lit(tag), code, F.substring(key, start, p))
     places = [cut(1, p + 1 + s) for s in range(-slack, slack + 1)]
     return F.array(cut(0, F.lit(1)), *places, cut(2, -p))
 
 
-def _own(key: Column) -> Column:
-    return _pieces(key, _piece(F.length(key)), 0)
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("size", F.expr("shiftleft(1, code & 63)"))
 
 
-def _offered(key: Column) -> Column:
-    """Hashes of the pieces of ``key`` that one of the pieces of any key near it equals."""
-    low, high = _piece(F.length(key) - 2), _piece(F.length(key) + 2)
-    return F.when(low == high, _pieces(key, low, 1)).otherwise(F.concat(_pieces(key, low, 1), _pieces(key, high, 1)))
+def _own(rows: DataFrame, key: str, *columns: Column | str) -> DataFrame:
+    """``columns`` of the ``rows`` with the three pieces of ``key`` and their places."""
+    rows = _sized(rows.withColumn("code", _code(F.length(key))))
+    return rows.select(*columns, F.posexplode(_pieces(F.col(key), F.col("code"), 0)).alias("place", "piece"))
 
 
-def _parity(key: Column) -> Column:
-    """A bit for each letter of ``PARITY`` that stands an odd number of times in ``key``.
+def _offered(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of the ``rows`` with each piece of their key that one of the pieces of any key near it equals.
 
-    A letter put in, left out or changed turns two bits at most, so two slips
-    turn no more than four.
+    The codes are exploded first: exploding one array of all the pieces would be
+    compiled into a method too large for the JVM to optimise.
     """
-    bits = F.lit(0)
-    for k, letter in enumerate(PARITY):
-        n = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(letter), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(1)), k))
-    return bits
+    codes = F.array_distinct(F.array(*[_code(F.length("key") + d) for d in (-2, 0, 2)]))
+    rows = _sized(rows.withColumn("code", F.explode(codes)))
+    return rows.select(*columns, F.explode(_pieces(F.col("key"), F.col("code"), 1)).alias("piece"))
 
 
-def _may_be_near(n: Column, parity: Column, m: Column, other: Column) -> Column:
-    return (F.abs(n - m) <= 2) & (F.bit_count(parity.bitwiseXOR(other)) <= 4)
+def _counts(key: Column) -> Column:
+    """How often each letter of ``COUNTED``, and in short keys of ``MORE``, stands in ``key``, modulo 16, in lanes of five bits; bit 62 is set for short keys."""
+
+    def of(letters: str) -> Column:
+        counts = F.lit(0).cast("bigint")
+        for k, letter in enumerate(letters):
+            n = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(letter), F.lit("")))
+            counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("bigint"), 5 * k))
+        return counts
+
+    return F.when(F.length(key) <= SHORT, of(COUNTED + MORE).bitwiseOR(F.lit(1 << 62))).otherwise(of(COUNTED))
+
+
+def _may_be_near(counts: Column, other: Column) -> Column:
+    """Whether no count differs by more than two and no more than four differ by an odd number, as two slips can make it.
+
+    All lanes are compared at once: the fifth bit of each keeps them apart.
+    """
+    ones = sum(1 << 5 * k for k in range(len(COUNTED + MORE)))
+    four, fifth = F.lit(15 * ones), F.lit(16 * ones)
+    of_long = F.lit(16 * sum(1 << 5 * k for k in range(len(COUNTED))))
+    moved = (counts.bitwiseAND(four).bitwiseOR(fifth) - other.bitwiseAND(four)).bitwiseAND(four)
+    over = (moved + F.lit(2 * ones)).bitwiseAND(four) + F.lit(11 * ones)
+    lanes = F.when(counts.bitwiseAND(other) >= F.lit(1 << 62), fifth).otherwise(of_long)
+    odd = counts.bitwiseXOR(other).bitwiseAND(F.shiftright(lanes, 4))
+    return (over.bitwiseAND(lanes) == F.lit(0)) & (F.bit_count(odd) <= 4)
 
 
 def _is_near(key: Column, centre: Column) -> Column:
@@ -96,73 +122,79 @@ def _is_near(key: Column, centre: Column) -> Column:
 
 
 def _near(lines: DataFrame, centres: DataFrame) -> DataFrame:
-    """(dossier, key_id, class_id, weight): keys with each other centre within the misread letters allowed.
+    """dossier, key_id, key, class_id, weight: keys with each other centre within the misread letters allowed.
 
-    lines: dossier, key, key_id, parity; centres: dossier, class_id, centre, weight, parity.
-    Only ids and parities are joined by a shuffle where the centres are too many
+    lines: dossier, key, key_id, counts; centres: dossier, class_id, centre, weight, counts.
+    Only ids and counts are joined by a shuffle where the centres are too many
     to be broadcast; the letters of the few pairs left are fetched then.
     """
     n, c = F.length("key"), F.length("centre")
     ranges = centres.groupBy("dossier").agg(F.min(c).alias("least"), F.max(c).alias("most"))
     lines = lines.join(small(ranges), "dossier").where((n >= 4) & (n >= F.col("least") - 2) & (n <= F.col("most") + 2))
-    asked = centres.where(c >= 4).withColumn("piece", F.explode(F.array_distinct(_own(F.col("centre")))))
-    asked = asked.select("piece", "class_id", "centre", "weight", F.col("parity").alias("of_centre"))
+    asked = _own(centres.where(c >= 4), "centre", "class_id", "centre", "weight", F.col("counts").alias("of_centre")).drop("place")
     few = small(asked)
     if few is not asked:
-        offered = lines.select("dossier", "key", "key_id", "parity", F.explode(_offered(F.col("key"))).alias("piece"))
-        near = offered.join(few, "piece").where(_may_be_near(n, F.col("parity"), c, F.col("of_centre"))).where(_is_near(F.col("key"), F.col("centre")))
-        return near.where("key_id <> class_id").select("dossier", "key_id", "class_id", "weight").distinct()
-    offered = lines.select("dossier", "key_id", "parity", n.alias("m"), F.explode(_offered(F.col("key"))).alias("piece")).distinct()
-    asked = asked.select("piece", "class_id", "weight", "of_centre", c.alias("n"))
+        offered = _offered(lines, "dossier", "key", "key_id", "counts")
+        other = (F.col("key_id") != F.col("class_id")) & _may_be_near(F.col("counts"), F.col("of_centre"))
+        near = offered.join(few, "piece").where(other & _is_near(F.col("key"), F.col("centre")))
+        return near.select("dossier", "key_id", "key", "class_id", "weight").distinct()
+    offered = _offered(lines, "dossier", "key_id", "counts", n.alias("m"), F.when(n <= SHORT, F.col("key")).alias("short")).distinct()
+    asked = asked.select("piece", "class_id", "weight", "of_centre", c.alias("n"), F.when(c <= SHORT, F.col("centre")).alias("short_centre"))
     pairs = _met(offered, asked).where("key_id <> class_id").select("dossier", "key_id", "class_id", "weight").distinct()
     texts = lines.select("dossier", "key_id", "key").dropDuplicates(["dossier", "key_id"])
     pairs = pairs.join(texts, ["dossier", "key_id"]).join(centres.select("dossier", "class_id", "centre"), ["dossier", "class_id"])
-    return pairs.where(_is_near(F.col("key"), F.col("centre"))).select("dossier", "key_id", "class_id", "weight")
+    return pairs.where(_is_near(F.col("key"), F.col("centre"))).select("dossier", "key_id", "key", "class_id", "weight")
 
 
 def _met(offered: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of both that share a piece, are alike in length and parity; pieces of many rows are split.
+    """Rows of both that share a piece, are alike in length and counts; pieces of many rows are split.
 
-    offered: piece, m, parity and others; asked: piece, n, of_centre and others.
+    offered: piece, m, counts, short and others; asked: piece, n, of_centre,
+    short_centre and others. Keys of up to ``SHORT`` letters are there as a whole
+    and compared at once.
     """
     hot = small(offered.groupBy("piece").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT))
     salts = F.coalesce(F.ceil(F.col("rows") / SPLIT), F.lit(1))
     asked = asked.join(hot, "piece", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).drop("rows")
-    asked = asked.withColumn("m", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)))
     offered = offered.join(hot, "piece", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("rows")
-    near = offered.join(asked, ["piece", "m", "salt"])
-    return near.where(_may_be_near(F.col("n"), F.col("of_centre"), F.col("m"), F.col("parity")))
+    near = _is_near(F.col("short"), F.col("short_centre"))
+    alike = (F.abs(F.col("n") - F.col("m")) <= 2) & _may_be_near(F.col("of_centre"), F.col("counts"))
+    return offered.join(asked, ["piece", "salt"]).where(alike & F.coalesce(near, F.lit(True)))
 
 
 def _rare_centres(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFrame:
-    """dossier, class_id, centre, weight, parity: keys not ``gone`` around which enough documents may lie.
+    """dossier, class_id, centre, weight, counts: keys not ``gone`` around which enough documents may lie.
 
     Nothing is lost: a key near another holds one of the three pieces of it, so
     keys whose pieces stand in too few lines together are left out; so are those
-    that share pieces, lengths and parities of letters with too few documents.
+    that share pieces, lengths and counts of letters with too few documents.
     Pieces of less than a third of the documents needed are not joined, but
-    reckoned as just below it.
+    reckoned as just below it. A key ``gone`` counts as enough documents.
     """
-    keyed = keyed.where(F.length("key") >= 4).join(size, "dossier")
+    rest = keyed.where(F.length("key") >= 4).join(small(gone.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti").join(size, "dossier")
+    near = gone.where(F.length("key") >= 4).join(size, "dossier").withColumns({"counts": _counts(F.col("key")), "doc": F.lit(None).cast("bigint")})
+    long, short = F.length("key"), F.when(F.length("key") <= SHORT, F.col("key"))
+    every = rest.select("dossier", "key", "doc", "counts", "needed").unionByName(near.select("dossier", "key", "doc", "counts", "needed"))
     third = F.ceil(F.col("needed") / 3)
-    hot = keyed.select("needed", F.explode(_offered(F.col("key"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("of_piece"), F.max("needed").alias("needed"))
+    hot = _offered(every, "doc", "needed").groupBy("piece").agg(F.sum(F.when(F.col("doc").isNull(), F.col("needed")).otherwise(1)).alias("of_piece"), F.max("needed").alias("needed"))
     hot = small(written(hot.where(F.col("of_piece") >= third).select("piece", "of_piece"), "frequent-pieces"), 1_000_000)
-    rest = keyed.join(small(gone), ["dossier", "key_id"], "left_anti")
-    own = rest.select("dossier", "key_id", "parity", "needed", F.length("key").alias("n"), F.posexplode(_own(F.col("key"))).alias("place", "piece")).join(hot, "piece")
+    own = _own(rest, "key", "dossier", "key_id", "counts", "needed", long.alias("n"), short.alias("short_centre")).join(hot, "piece")
     at = [F.max(F.when(F.col("place") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("piece", "of_piece")]
-    own = own.groupBy("dossier", "key_id", "parity", "needed", "n").agg(*at)
+    own = own.groupBy("dossier", "key_id", "counts", "needed", "n", "short_centre").agg(*at)
     missed = third - 1
     own = own.where(sum(F.coalesce(F.col(f"of_piece{k}"), missed) for k in range(3)) >= F.col("needed"))
     own = written(own, "rare-keys")
-    asked = own.select("dossier", F.col("key_id").alias("class_id"), F.col("parity").alias("of_centre"), "n", F.explode(F.array_distinct(F.array_compact(F.array("piece0", "piece1", "piece2")))).alias("piece"))
-    offered = keyed.select("doc", "parity", F.length("key").alias("m"), F.explode(_offered(F.col("key"))).alias("piece")).join(hot.select("piece"), "piece")
-    offered = written(offered.distinct(), "frequent-offers")
-    docs = _met(offered, asked).select("dossier", "class_id", "doc").distinct().groupBy("dossier", "class_id").agg(F.count("*").alias("docs"))
+    asked = own.select("dossier", F.col("key_id").alias("class_id"), F.col("counts").alias("of_centre"), "n", "short_centre", F.explode(F.array_distinct(F.array_compact(F.array("piece0", "piece1", "piece2")))).alias("piece"))
+    offered = _offered(every, "doc", "counts", long.alias("m"), short.alias("short"))
+    offered = written(offered.join(hot.select("piece"), "piece"), "frequent-offers")
+    docs = _met(offered, asked).select("dossier", "class_id", "doc").distinct()
+    docs = docs.groupBy("dossier", "class_id").agg(F.count("doc").alias("docs"), F.bool_or(F.col("doc").isNull()).alias("beside"))
     n_hot = sum(F.col(f"piece{k}").isNotNull().cast("int") for k in range(3))
     may = docs.join(own.select("dossier", F.col("key_id").alias("class_id"), "needed", n_hot.alias("n_hot")), ["dossier", "class_id"])
-    may = written(may.where(F.col("docs") + (3 - F.col("n_hot")) * missed >= F.col("needed")).select("dossier", F.col("class_id").alias("key_id")), "rare-centre-ids")
-    found = rest.join(small(may), ["dossier", "key_id"]).groupBy("dossier", "key_id").agg(F.min("key").alias("centre"), F.min("parity").alias("parity"))
-    return written(found.select("dossier", F.col("key_id").alias("class_id"), "centre", F.lit(1).cast("bigint").alias("weight"), "parity"), "rare-centres")
+    may = may.where(F.col("beside") | (F.col("docs") + (3 - F.col("n_hot")) * missed >= F.col("needed")))
+    may = small(written(may.select("dossier", F.col("class_id").alias("key_id")), "rare-centre-ids"))
+    found = rest.join(may, ["dossier", "key_id"]).groupBy("dossier", "key_id").agg(F.min("key").alias("centre"), F.min("counts").alias("counts"))
+    return written(found.select("dossier", F.col("key_id").alias("class_id"), "centre", F.lit(1).cast("bigint").alias("weight"), "counts"), "rare-centres")
 
 
 def suffixes(rows: np.ndarray, lines: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
@@ -288,9 +320,10 @@ def repeated_lines(
     of = documents.select("document_id", F.xxhash64("dossier_id").alias("dossier")).where("dossier_id is not null").distinct()
     spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", "text").join(small(of, 500_000), "document_id")
     spans = spans.select("dossier", F.xxhash64("document_id").alias("doc"), "span_id", looks(F.col("text"), bare=True).alias("text"))
-    lines = spans.select("dossier", "doc", "span_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
-    lines = written(lines.withColumns({"key_id": F.xxhash64("key"), "parity": _parity(F.col("key"))}), "lines")
+    spans = spans.withColumn("ascii_only", F.octet_length("text") == F.length("text"))
+    lines = spans.select("dossier", "doc", "span_id", "ascii_only", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line"), F.col("ascii_only")).alias("key"))
+    lines = written(lines.withColumns({"key_id": F.xxhash64("key"), "counts": _counts(F.col("key"))}), "lines")
 
     size = lines.select("dossier", "doc").distinct().groupBy("dossier").agg(F.count("*").alias("of_docs"))
     size = size.select("dossier", F.greatest(F.lit(least), F.ceil(F.col("of_docs") * share)).alias("needed"))
@@ -299,10 +332,10 @@ def repeated_lines(
     unmisread = F.greatest(F.lit(2), F.ceil(F.col("needed") * CENTRE))
     rows = keyed.groupBy("dossier", "key_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     rows = rows.join(size, "dossier").where(F.col("n_rows") >= unmisread).select("dossier", "key_id")
-    docs = keyed.join(small(written(rows, "line-keys")), ["dossier", "key_id"], "left_semi").groupBy("dossier", "key_id", "doc").agg(F.min("key").alias("key"), F.min("parity").alias("parity"))
-    docs = docs.groupBy("dossier", "key_id").agg(F.count("*").alias("weight"), F.min("key").alias("centre"), F.min("parity").alias("parity"))
+    docs = keyed.join(small(written(rows, "line-keys")), ["dossier", "key_id"], "left_semi").groupBy("dossier", "key_id", "doc").agg(F.min("key").alias("key"), F.min("counts").alias("counts"))
+    docs = docs.groupBy("dossier", "key_id").agg(F.count("*").alias("weight"), F.min("key").alias("centre"), F.min("counts").alias("counts"))
     docs = docs.join(size, "dossier").where(F.col("weight") >= unmisread)
-    centres = written(docs.select("dossier", F.col("key_id").alias("class_id"), "centre", "weight", "parity"), "line-centres")
+    centres = written(docs.select("dossier", F.col("key_id").alias("class_id"), "centre", "weight", "counts"), "line-centres")
 
     found, gone = _turn(keyed, centres, size, longest, "frequent")
     rare = _rare_centres(keyed, gone, size)
@@ -311,13 +344,15 @@ def repeated_lines(
 
 
 def _turn(keyed: DataFrame, centres: DataFrame, size: DataFrame, longest: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """The blocks of lines in the classes around ``centres`` that span enough documents, and (dossier, key_id) of the keys in such classes."""
-    itself = centres.select("dossier", F.col("class_id").alias("key_id"), "class_id", "weight")
-    members = written(itself.unionByName(_near(keyed, centres)), f"{name}-members")
-    met = keyed.join(small(members), ["dossier", "key_id"]).select("dossier", "doc", "span_id", "line_no", "class_id", "weight")
+    """The blocks of lines in the classes around ``centres`` that span enough documents, and dossier, key_id, key of the keys in such classes."""
+    itself = centres.select("dossier", F.col("class_id").alias("key_id"), F.col("centre").alias("key"), "class_id", "weight")
+    other = keyed.join(small(itself.select("dossier", "key_id")), ["dossier", "key_id"], "left_anti").select("dossier", "key_id", "key", "counts")
+    other = other.unionByName(centres.select("dossier", F.col("class_id").alias("key_id"), F.col("centre").alias("key"), "counts"))
+    members = written(itself.unionByName(_near(other, centres)), f"{name}-members")
+    met = keyed.join(small(members.drop("key")), ["dossier", "key_id"]).select("dossier", "doc", "span_id", "line_no", "class_id", "weight")
     found = blocks_of(met, size, longest)
     classes = found.where("n_lines = 1").select("dossier", F.col("block").alias("class_id")).distinct()
-    gone = members.join(classes, ["dossier", "class_id"], "left_semi").select("dossier", "key_id").distinct()
+    gone = members.join(classes, ["dossier", "class_id"], "left_semi").groupBy("dossier", "key_id").agg(F.min("key").alias("key"))
     return found, written(gone, f"{name}-keys-gone")
 
 
