@@ -60,26 +60,30 @@ UNION SELECT record_id, citation_key FROM graph_records WHERE record_type = 'sou
 PARSED = f"""
 SELECT *, CASE WHEN t <> '' THEN 'nct_' || regexp_replace(translate(t, 'oil', '011'), '[^0-9]', '', 'g')
     WHEN r <> '' THEN 'ref_' || CAST(translate(r, 'oil', '011') AS BIGINT) END AS number,
+  CASE WHEN y <> '' THEN yl ELSE zl END AS letter,
   CASE WHEN y <> '' THEN CAST(y AS BIGINT) WHEN z <> '' THEN CAST(z AS BIGINT) + CASE WHEN CAST(z AS BIGINT) > 50 THEN 1900 ELSE 2000 END END AS year,
-  list_filter(regexp_extract_all(bare, '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({', '.join(f"'{w}'" for w in STOP)})) AS names
+  list_filter(regexp_extract_all(bare, '[a-z]+'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(f"'{w}'" for w in STOP)})) AS names
 FROM (SELECT *, regexp_extract(s, '{TRIAL}', 1) AS t, regexp_extract(s, '{NUMBERED}', 1) AS r, regexp_extract(bare, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:[^0-9]|$)', 1) AS y,
-    regexp_extract(bare, '(?:^|[^0-9])([0-9][0-9])[a-z]?(?:[^0-9a-z]|$)', 1) AS z
+    regexp_extract(bare, '(?:^|[^0-9])(?:19|20)[0-9][0-9]([a-z])(?:[^0-9a-z]|$)', 1) AS yl, regexp_extract(bare, '(?:^|[^0-9])([0-9][0-9])[a-z]?(?:[^0-9a-z]|$)', 1) AS z,
+    regexp_extract(bare, '(?:^|[^0-9])[0-9][0-9]([a-z])(?:[^0-9a-z]|$)', 1) AS zl
   FROM (SELECT *, regexp_replace(s, '{PLACES}', ' ', 'g') AS bare
     FROM (SELECT *, CASE WHEN d <> '' THEN replace(j, d, regexp_replace(d, '[. \\-]', '', 'g')) ELSE j END AS s
       FROM (SELECT *, regexp_extract(j, '{DOTS}') AS d FROM (SELECT *, regexp_replace({FOLD}, '([a-z])[-‐]\\s+([a-z])', '\\1\\2', 'g') AS j FROM src)))))
 """
-NEAR = "damerau_levenshtein({0}, {1}) <= CASE WHEN length({1}) > 6 THEN 2 ELSE 1 END"
+NEAR = "damerau_levenshtein({0}, {1}) <= CASE WHEN length({1}) > 6 THEN 2 WHEN length({1}) > 3 THEN 1 ELSE 0 END"
+SAME_YEAR = "c.year = coalesce(e.pub_year, e.year) AND c.letter = e.letter"
+LONG = "list_filter(names, lambda w: length(w) > 3)"
 P5 = f"""
 WITH c AS (WITH src AS ({CASES}) {PARSED}),
 e AS (WITH src AS (SELECT ref_id, form, pub_year, citation_key AS v FROM reference_sources WHERE citation_key IS NOT NULL) {PARSED}),
 hits AS (
   SELECT record_id, ref_id, 0 AS d FROM c JOIN e ON c.number = e.number
-  UNION ALL SELECT record_id, ref_id, damerau_levenshtein(w, e.names[1]) FROM (SELECT record_id, year, unnest(CASE WHEN len(names) > 1 THEN [names[1], names[1] || names[2]] ELSE names[:1] END) AS w FROM c WHERE number IS NULL) c
-    JOIN e ON e.form = 'author_year' AND c.year = coalesce(e.pub_year, e.year) AND {NEAR.format("w", "e.names[1]")}
-  UNION ALL SELECT record_id, ref_id, damerau_levenshtein(c.names[1], e.names[1]) FROM c JOIN e ON c.number IS NULL AND e.form = 'named_guideline' AND c.year = coalesce(e.pub_year, e.year) AND len(c.names) = 1 AND len(e.names) = 1
+  UNION ALL SELECT record_id, ref_id, damerau_levenshtein(w, e.names[1]) FROM (SELECT record_id, year, letter, unnest(CASE WHEN len(ls) > 1 THEN [ls[1], ls[1] || ls[2], names[1]] ELSE ls[:1] || names[:1] END) AS w FROM (SELECT *, {LONG} AS ls FROM c) WHERE number IS NULL) c
+    JOIN e ON e.form = 'author_year' AND {SAME_YEAR} AND {NEAR.format("w", "e.names[1]")}
+  UNION ALL SELECT record_id, ref_id, damerau_levenshtein(c.names[1], e.names[1]) FROM c JOIN e ON c.number IS NULL AND e.form = 'named_guideline' AND {SAME_YEAR} AND len(c.names) = 1 AND len(e.names) = 1
     AND {NEAR.format("c.names[1]", "e.names[1]")}
   UNION ALL SELECT record_id, ref_id, damerau_levenshtein(c.names[i], e.names[1]) + damerau_levenshtein(c.names[3 - i], e.names[2]) FROM c, range(1, 3) t(i), e WHERE c.number IS NULL AND e.form = 'named_guideline'
-    AND c.year = coalesce(e.pub_year, e.year) AND len(c.names) = 2 AND len(e.names) = 2 AND {NEAR.format("c.names[i]", "e.names[1]")} AND {NEAR.format("c.names[3 - i]", "e.names[2]")}),
+    AND {SAME_YEAR} AND len(c.names) = 2 AND len(e.names) = 2 AND {NEAR.format("c.names[i]", "e.names[1]")} AND {NEAR.format("c.names[3 - i]", "e.names[2]")}),
 best AS (SELECT record_id, min(d) AS d FROM hits GROUP BY 1),
 one AS (SELECT record_id, min(ref_id) AS ref_id FROM hits JOIN best USING (record_id, d) GROUP BY 1 HAVING count(DISTINCT ref_id) = 1)
 SELECT DISTINCT record_id, coalesce(ref_id, 'none') AS ref_id FROM c LEFT JOIN one USING (record_id)

@@ -6,7 +6,8 @@ from claimloom.llm import canonical as C
 
 ROWS = (
     ("R1", "skachosoen_2015", "author_year", 2015), ("R2", "skachosoen_2009", "author_year", 2009), ("R3", "tinhudrow_2001", "author_year", 2001),
-    ("R4", "nct_91634197", "nct_id", None), ("R5", "ref_030", "ref_id_numeric", None), ("R6", "cmsv_xvmb_2012", "named_guideline", 2012), ("R7", "qvvq_2011", "named_guideline", 2011),
+    ("R8", "lee_2019", "author_year", 2019), ("R9", "smith_2018a", "author_year", 2018), ("S1", "smith_2018b", "author_year", 2018), ("S2", "esc_2021", "named_guideline", 2021), ("S3", "aha_acc_2014", "named_guideline", 2014),
+    ("S4", "whfw_bmnh_pqrs_2010", "named_guideline", 2010), ("S5", "orrin_2016b", "author_year", 2016), ("S6", "qfzn_tqts_2003", "named_guideline", 2003), ("R4", "nct_91634197", "nct_id", None), ("R5", "ref_030", "ref_id_numeric", None), ("R6", "cmsv_xvmb_2012", "named_guideline", 2012), ("R7", "qvvq_2011", "named_guideline", 2011),
 )
 
 
@@ -21,6 +22,10 @@ def entries():
         ("(Skachosoen et al., 2015)", "R1"), ("SKACHOSOEN ET AL., 2009", "R2"), ("2015, Skáchosoen & co.", "R1"), ("Skachosoen ’15", "R1"), ("skachosoen_09", "R2"),
         ("(Skachossoen, 2015)", "R1"), ("[Skahcosoen et al 2015]", "R1"), ("Skacho- soen et al. 2015", "R1"), ("Skаchosoen 2015, p. 12", "R1"), ("(E.K. Skachosoen (2015))", "R1"),
         ("Skachosoen and Tinhudrow, 2015", "R1"), ("Skachosoen and Tinhudrow, 2001", None), ("Tinhudrow & Skachosoen 2001", "R3"), ("Skachosoen 2014", None), ("Ulvkimek 2015", None),
+        ("Lee et al. 2019", "R8"), ("Leo 2019", None), ("Smith 2018a", "R9"), ("Smith 2018b", "S1"), ("Smith 2018", None), ("Smith ’18b", "S1"), ("Skachosoen 2015a", None), ("Orrin 2016", "S5"), ("Orrin 2016a", None),
+        ("ESC 2021 guidelines", "S2"), ("AHA/ACC 2014 guideline", "S3"), ("ACC-AHA 2014", "S3"), ("AHA 2014 guideline", None), ("ESC/XYZ 2021 guideline", None), ("ESC 2021 guideline update", "S2"), ("The clinical ESC 2021", "S2"),
+        ("WHFW/BMNH/PQRS 2010 clinical guideline", "S4"), ("PQRS, BMNNH and WHFW 2010", "S4"), ("WHFW/BMNH 2010", None), ("QFN/TQTS 2003 guideline", "S6"), ("QVVQ/ZZZZ 2011 guideline", None),
+        ("Data from patients per Skachosoen 2015", "R1"), ("as shown by Tinhudrow 2001", "R3"), ("Ulvkimek and Skachosoen 2015", None), ("Ulvkimek & Skachosoen, 2015", None), ("Ulvkimek-Skachosoen 2015", None), ("Skachosoen, E.K. and Lee 2015", "R1"), ("Lee y Skachosoen 2019", "R8"),
         ("NCT91634197", "R4"), ("NCT 9163 4197", "R4"), ("N.C.T. 91.634.197", "R4"), ("NCT9l634197", "R4"), ("ct_91634197", "R4"), ("NCT91634198", None), ("NCT9163419", None),
         ("REF-30", "R5"), ("Ref. 030", "R5"), ("REF-3O", "R5"), ("r-e-f 30", "R5"), ("(see Reference no. 30)", "R5"), ("REF-31", None), ("REF-300", None),
         ("CMSV/XVMB 2012 guideline", "R6"), ("2012 XVMB-CMSV guidelines", "R6"), ("CMSV and XVMB Guidelines (2012)", "R6"), ("CMMSV/XVMB 2012", "R6"), ("CMSV 2012 guideline", None), ("Q.V.V.Q. 2011 guideline", "R7"), ("QVVQ recommendations '11", "R7"), ("QVVQ 2012", None),
@@ -79,10 +84,24 @@ def test_every_case_has_one_row(spark, sf_dir):
 
 
 def test_blocks_change_no_result(spark):
-    rows = [("A1", "skachosuin_2015"), ("B1", "skachosoen_2015"), ("C1", "tinhudrow_2001"), ("D1", "tinhudraw_2001"), ("E1", "skachosoen_2015")]
+    rows = [("F1", "karlsen_2015"), ("G1", "karlson_2015"), ("H1", "lee_2019"), ("A1", "skachosuin_2015"), ("B1", "skachosoen_2015"), ("C1", "tinhudrow_2001"), ("D1", "tinhudraw_2001"), ("E1", "skachosoen_2015")]
     refs = spark.createDataFrame([(i, k, "author_year", int(k[-4:])) for i, k in rows], "ref_id string, citation_key string, form string, pub_year int")
-    values = [("m1", "Skachosoin 2015"), ("m2", "Skachosoenn 2015"), ("m3", "Tinhudrew 2001"), ("m4", "Skachosoen 2015"), ("m5", "Ulvkimek 2015")]
+    values = [("m1", "Skachosoin 2015"), ("m2", "Skachosoenn 2015"), ("m3", "Tinhudrew 2001"), ("m4", "Skachosoen 2015"), ("m5", "Ulvkimek 2015"), ("m6", "Karlsan 2015"), ("m7", "Karlsonn 2015"), ("m8", "Lee 2019"), ("m9", "See Tinhudrow 2001, not Lee 2019")]
     values = spark.createDataFrame(values, "record_id string, value string")
     found = [sorted(map(tuple, C.resolve(values, refs, block).collect())) for block in (50_000, 2, 1)]
     assert found[0] == found[1] == found[2]
+    assert dict(found[0])["m6"] == "none" and dict(found[0])["m7"] == "G1" and dict(found[0])["m8"] == "H1" and dict(found[0])["m9"] == "C1"
     assert dict(found[0])["m2"] == dict(found[0])["m4"] == "B1" and dict(found[0])["m3"] == dict(found[0])["m5"] == "none"
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    refs = spark.createDataFrame([("A", "lee_2019", "author_year", 2019)], "ref_id string, citation_key string, form string, pub_year int")
+    values = spark.createDataFrame([("m1", "as Lee found in 2019")], "record_id string, value string")
+    assert C.resolve(values, refs).first().ref_id == "A"
+    monkeypatch.setattr(C.Entries, "_matches", lambda self, value: [])
+    assert C.Entries((("A", "lee_2019", "author_year", 2019),)).embedded(C.Value("as Lee found in 2019")) is None
+
+
+def test_entries_that_cannot_be_told_apart_make_a_tie():
+    entries = C.Entries((("A", "lee_2019", "author_year", 2019), ("B", "Lee-2019", "author_year", 2019), ("C", "kim_2020", "author_year", 2020), ("D", "kim_2020", "author_year", 2020)))
+    assert entries.resolve("Lee 2019")[1] is None and entries.resolve("Kim 2020")[1] == "C"
