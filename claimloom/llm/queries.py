@@ -43,18 +43,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a third of a test item, with what they hold of it."""
+    """Documents that hold a third of a test item, edited or not, with what they hold of it."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a third of a test item."""
-    return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    """Documents that hold a third of a test item word for word."""
+    return leakage.exactly(p6_leaks(spark, sf_dir)).select("doc_id", "item_id").distinct()
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked test items with the number of documents that hold them."""
-    return leakage.leaked_items(p6_leaks(spark, sf_dir)).select("item_id", "n_docs")
+    return leakage.leaked_items(leakage.exactly(p6_leaks(spark, sf_dir))).select("item_id", "n_docs")
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
