@@ -9,8 +9,9 @@ largest density sum is taken, and along its path to the body the siblings that
 reach the least density on that path.
 
 Text that stands beside blocks in the same element is a node of its own, rated
-as they are. Headings, lists, code and formulas are structure, which the density rates low;
-beside the path they are kept unless most of their text is links.
+as they are. Headings, lists, code and formulas are structure, which the density
+rates low; beside the path they are kept if they are as dense as they would be if
+half of their text were links.
 """
 
 from __future__ import annotations
@@ -50,11 +51,14 @@ RAW = re.compile(
     r"|(?P<math><math(?:\s[^<>]*)?>(?P<mathbody>.*?)</math\s*>)"
     r"|(?P<tick>(?<!`)(?P<n>`{1,2})(?!`)(?P<inline>[^\n]*?[^`\n])(?P=n)(?!`))"
     r"|(?P<display>(?<!\\)\$\$(?P<displayed>[^$]+?)\$\$)"
-    r"|(?P<bracket>\\\[(?P<bracketed>(?:(?!\n\s*\n).)+?)\\\])"
-    r"|(?P<paren>\\\((?P<parened>(?:(?!\n\s*\n).)+?)\\\))"
+    r"|(?P<bracket>(?<!\\)\\\[(?P<bracketed>(?:(?!\n\s*\n).)+?)\\\])"
+    r"|(?P<paren>(?<!\\)\\\((?P<parened>(?:(?!\n\s*\n).)+?)\\\))"
     r"|(?P<dollar>(?<![\\$\w])\$(?=[^\s$])(?P<dollared>(?:\\\$|[^$\n]|\n(?!\s*\n))+?)(?<![\s\\])\$(?![\w$])))",
     re.S | re.M | re.I,
 )
+PAIRS = [(re.compile(rf"<{x}(?:\s[^<>]*)?(?<!/)>", re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style", "head", "ref", "math")]
+PAIRS += [(re.compile(rf"\\begin\{{{x}\*?\}}"), re.compile(rf"\\end\{{{x}\*?\}}")) for x in ("equation", "displaymath", "math", "align", "gather", "multline", "eqnarray")]
+PAIRS += [(re.compile(rf"(?<!\\)\\\{a}"), re.compile(rf"\\\{b}")) for a, b in ("[]", "()")]
 ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(.*\S.*)$")
 WIKI_HEAD = re.compile(r"^(={1,6})\s*(.*?)\s*(={1,6})\s*$")
@@ -124,6 +128,15 @@ def _fence_indented(text: str) -> str:
     return "\n".join(out)
 
 
+def _closed(text: str) -> str:
+    """``text`` without the tags and environments that are opened but never closed behind, so that none is looked for in vain."""
+    for opening, closing in PAIRS:
+        last = max((m.start() for m in closing.finditer(text)), default=-1)
+        head, tail = text[: last + 1], text[last + 1 :]
+        text = head + opening.sub(lambda m: "\n\n" if "begin" in m[0] else f"&#{ord(m[0][1])};" if len(m[0]) == 2 else "", tail)
+    return text
+
+
 def _set_aside(text: str, kind: str) -> tuple[str, list[tuple[str, str]]]:
     """``text`` with code and formulas replaced by marks, and what the marks stand for."""
     kept: list[tuple[str, str]] = []
@@ -148,7 +161,7 @@ def _set_aside(text: str, kind: str) -> tuple[str, list[tuple[str, str]]]:
         body = next(m[b] for b in ("eqbody", "mathbody", "displayed", "bracketed", "parened", "dollared") if m[b] is not None)
         return hold("formula", html.unescape(body) if kind in ("html", "wiki") else body)
 
-    return RAW.sub(one, text), kept
+    return RAW.sub(one, _closed(text)), kept
 
 
 def _emphasis(text: str, kept: list[tuple[str, str]]) -> str:
@@ -229,8 +242,32 @@ def _without_templates(text: str) -> str:
     return "".join(out)
 
 
+def _rows(rows: list[list[str]]) -> str:
+    """A table of ``rows`` of cells, each row in a line."""
+    lines = [" | ".join(c for c in (" ".join(cell.split()) for cell in row) if c) for row in rows]
+    return "\n<table>\n" + "\n".join(f"<tr><td>{x}</td></tr>" for x in lines if x) + "\n</table>\n"
+
+
+def _wiki_table(m: re.Match) -> str:
+    rows: list[list[str]] = [[]]
+    for line in m[0].split("\n")[1:]:
+        line = line.strip()
+        if line.startswith("|}"):
+            break
+        if line.startswith("|-"):
+            rows.append([])
+        elif line.startswith(("|", "!")):
+            cells = re.split(r"\|\||!!", line[2:] if line.startswith("|+") else line[1:])
+            rows[-1] += [re.sub(r"^[^\[\]|{}<>]*=[^\[\]|{}<>]*\|(?!\|)", "", c) for c in cells]
+        elif rows[-1]:
+            rows[-1][-1] += " " + line
+        elif line:
+            rows[-1].append(line)
+    return _rows(rows)
+
+
 def _wiki(text: str) -> str:
-    text = re.sub(r"\{\|.*?(?:^\|\}|\Z)", "", text, flags=re.S | re.M)
+    text = re.sub(r"\{\|.*?(?:^\|\}|\Z)", _wiki_table, text, flags=re.S | re.M)
     text = _without_templates(text)
     text = re.sub(r"<ref\b[^<>]*/>", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "", text)
@@ -264,9 +301,17 @@ def _braced(text: str, at: int) -> int:
     return len(text)
 
 
+def _latex_table(m: re.Match) -> str:
+    at, body = 0, m[1].lstrip()
+    while body[at : at + 1] in ("{", "["):  # widths, places and columns
+        at = _braced(body, at) if body[at] == "{" else body.find("]", at) + 1 or len(body)
+    body = re.sub(r"\\(?:hline|toprule|midrule|bottomrule|(?:cline|cmidrule)(?:\([^()]*\))?\{[^{}]*\})", "", body[at:])
+    return _rows([re.split(r"(?<!\\)&", row) for row in re.split(r"\\\\(?:\[[^\]\n]*\])?", body)])
+
+
 def _latex(text: str, kept: list[tuple[str, str]], depth: int = 0) -> str:
     text = re.sub(r"(?<!\\)%[^\n]*", "", text)
-    text = re.sub(r"\\begin\{tabular[x*]?\}.*?(?:\\end\{tabular[x*]?\}|\Z)", "\n\n", text, flags=re.S)
+    text = re.sub(r"\\begin\{tabular[x*]?\}(.*?)(?:\\end\{tabular[x*]?\}|\Z)", _latex_table, text, flags=re.S)
 
     def escaped(m: re.Match) -> str:
         kept.append(("text", m[1]))
@@ -327,7 +372,7 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
     elif kind == "latex":
         text = _latex(text, kept)
     root = top = Node("body", None)
-    at = 0
+    at, link = 0, False
 
     def close(until: set[str]) -> None:
         nonlocal top
@@ -344,6 +389,8 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
 
     def add(piece: str) -> None:
         k = 0
+        if link:
+            run().linked += len(piece)
         for m in KEPT.finditer(piece):
             run().parts.append(piece[k : m.start()])
             what, body = kept[int(m[1])]
@@ -362,6 +409,7 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
         if name in VOID:
             run().parts.append(" ")
         elif name in HEADINGS | LISTS | TABLE | BLOCK | {"li"}:
+            link = False
             if not ends:
                 if name == "li":
                     close({"p", "div", "li"} | HEADINGS)
@@ -388,9 +436,9 @@ def tree(text: str) -> tuple[Node, list[tuple[str, str]]]:
         else:
             inline = run()
             inline.tags += 1
-            if name == "a" and not ends:
-                inline.links += 1
-                inline.linked += len(re.sub(r"<[^<>]*>", "", text[at : (text.find("</a", at) + 1 or len(text) + 1) - 1]))
+            if name == "a":
+                link = not ends
+                inline.links += link
     add(text[at:])
     _join_runs(root)
     return root, kept
@@ -429,24 +477,36 @@ def _measure(node: Node) -> None:
             node.links, node.linked = node.links + part.links, node.linked + part.linked
 
 
+def _density(chars: int, tags: int, linked: float, links: float, share: float) -> float:
+    """Composite text density: the characters per tag, times a logarithm of
+    characters per linked one and tags per link to a base that grows with the
+    linked text; ones are added to keep both logarithms above zero.
+
+    share: linked characters of the whole body per character.
+    """
+    if not chars:
+        return 0.0
+    tags, plain = max(1, tags), max(1, chars - linked)
+    base = math.log(chars / plain * linked + share * chars + math.e)
+    return chars / tags * math.log(chars / max(1, linked) * tags / max(1, links) + 1) / max(1e-9, math.log(max(base, 1.0001) + 1))
+
+
 def _densities(node: Node, share: float) -> None:
     """Composite text density of every node and the sum over its children.
 
-    share: linked characters of the whole body per character. The density is the
-    characters per tag, times a logarithm of characters per linked one and tags
-    per link to a base that grows with the linked text; ones are added to keep
-    both logarithms above zero. Loose text does not decide where the body is, so
-    only the formulas in it count for the sum.
+    Loose text does not decide where the body is, so only the formulas in it
+    count for the sum.
     """
     node.total = 0.0
     for child in node.children():
         _densities(child, share)
         node.total += child.total if child.tag == LOOSE else child.density
-    c, t, lc, lt = node.chars, max(1, node.tags), node.linked, node.links
-    if c:
-        plain = max(1, c - lc)
-        base = math.log(c / plain * lc + share * c + math.e)
-        node.density = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(1e-9, math.log(max(base, 1.0001) + 1))
+    node.density = _density(node.chars, node.tags, node.linked, node.links, share)
+
+
+def _dense(node: Node, share: float) -> bool:
+    """Whether ``node`` is as dense as it would be if half of its text were links."""
+    return node.density >= _density(node.chars, node.tags, node.chars / 2, max(node.tags, 1) / 2, share)
 
 
 def _holds_structure(node: Node) -> bool:
@@ -456,7 +516,8 @@ def _holds_structure(node: Node) -> bool:
 def content(root: Node) -> list[Node]:
     """The subtrees that are the content of the document under ``root``, in its order."""
     _measure(root)
-    _densities(root, root.linked / max(1, root.chars))
+    share = root.linked / max(1, root.chars)
+    _densities(root, share)
     best, todo = root, [root]
     while todo:
         node = todo.pop()
@@ -474,7 +535,7 @@ def content(root: Node) -> list[Node]:
     node = best
     while node.parent:
         for child in node.parent.children():
-            structure = child.linked * 2 <= child.chars and _holds_structure(child)
+            structure = _holds_structure(child) and _dense(child, share)
             if child is not node and (child.density >= least or structure):
                 found.append(child)
             elif child.tag == LOOSE:

@@ -189,3 +189,40 @@ def test_tables(spark, sf_dir):
     found = M.structure(spark.read.parquet(f"{sf_dir}/extracted_markdown.parquet"), "md_id", "markdown_text")
     texts = {r.md_id: r.markdown_text for r in spark.read.parquet(f"{sf_dir}/extracted_markdown.parquet").collect()}
     assert {tuple(r) for r in found.collect()} == {(i, *p) for i, t in texts.items() for p in M.parts(t)}
+
+
+CHROME = "<ul>" + "".join(f"<li><a href='/{k}'>Section number {k}</a></li>" for k in range(12)) + "</ul>"
+LIST = "<ul><li>Rinse the probe</li><li>Dry it</li></ul>"
+BODY = "<div>" + "<p>The device was rinsed and dried in moving air before every one of the tests that are told of here.</p>" * 9 + "</div>"
+
+
+def test_the_density_decides_what_is_kept(monkeypatch):
+    page = f"<html><body>{CHROME}{LIST}{BODY}</body></html>"
+    items = [t for k, t in M.parts(page) if k == "list_item"]
+    assert items == ["Rinse the probe", "Dry it"]
+    assert "Section number" not in M.clean(page) and "Rinse the probe" in M.clean(page)
+    with monkeypatch.context() as off:
+        off.setattr(M, "_density", lambda *_: 0.0)
+        assert "Section number 3" in M.clean(page)
+    monkeypatch.setattr(M, "_dense", lambda *_: False)
+    assert "Rinse the probe" not in M.clean(page) and "was rinsed" in M.clean(page)
+
+
+def test_tables_keep_their_text():
+    wiki = "== Doses ==\n{| class='wikitable'\n|+ Per kilogram\n! Drug !! Dose\n|-\n| Aspirin || 3 mg\n|- style='x'\n| align=left | [[Ibuprofen]]\n| 5 mg\n|}\nText after the table."
+    found = M.clean(wiki)
+    assert [x for x in ("Per kilogram | Drug | Dose", "Aspirin | 3 mg", "Ibuprofen | 5 mg", "Text after the table.") if x not in found] == []
+    latex = "\\section{Doses}\n\\begin{tabular}{l|r}\n\\hline\nDrug & Dose \\\\[2pt]\n\\textbf{Aspirin} & 3\\% \\\\ \\hline\n\\end{tabular}\n\nText after the table."
+    found = M.clean(latex)
+    assert [x for x in ("Drug | Dose", "Aspirin | 3%", "Text after the table.") if x not in found] == []
+    assert [k for k, _ in M.parts(wiki)] == [k for k, _ in M.parts(latex)] == ["heading"]
+
+
+def test_time_grows_with_the_length_of_broken_texts():
+    import time
+
+    for piece in ("<a href=x>text ", "<script>x ", "<ref>x ", "\\begin{equation} x ", "<div><p>x ", "{{x ", "[[x ", "<math>x ", "\\[ x ", "\\( x "):
+        began = time.process_time()
+        M.clean(piece * 20_000)
+        assert time.process_time() - began < 6, piece
+    assert M.clean("a <script>x</script> b <script>c") == "a b c"
