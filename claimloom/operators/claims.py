@@ -183,20 +183,30 @@ def requirement_gaps(spans: DataFrame) -> DataFrame:
     return needs.join(rows.select("document_id", "row"), ["document_id", "row"], "left_semi")
 
 
-def claims(spans: DataFrame, documents: DataFrame) -> DataFrame:
+FAMILIES = {
+    "numeric": lambda text, kind, document: numeric(text),
+    "value_unit": lambda text, kind, document: value_unit(text),
+    "entities": lambda text, kind, document: entities(text),
+    "performance": lambda text, kind, document: performance(text, kind),
+    "citation": cited,
+}
+
+
+def claims(spans: DataFrame, documents: DataFrame, *families: str) -> DataFrame:
     """One row per claim: claim_id, document_id, span_id, text, claim_type, extraction_method, confidence_label.
 
+    ``families`` of ``FAMILIES``, or "completeness", if given, limits the claims to these.
     Spans that are no evidence text give none, as do null texts; ids may repeat
     where two spellings of an entity differ in case only; a repeated span gives
     its claims again, equal in every column, so that ``distinct`` leaves them once.
     """
     rows = noise.classified(spans, documents)
     text, kind, document = F.col("text"), F.col("location_kind"), F.col("document_id")
-    found = F.concat(numeric(text), value_unit(text), entities(text), performance(text, kind), cited(text, kind, document))
+    found = F.concat(*[f(text, kind, document) for name, f in FAMILIES.items() if not families or name in families] or [F.array().cast(CLAIM)])
     each = rows.where(text.isNotNull() & ~F.col("suppress_claims")).select("document_id", "span_id", F.explode(found).alias("c"))
     each = each.select("document_id", "span_id", "c.*")
     gaps = requirement_gaps(rows).select("document_id", "span_id", strip(text).alias("text"), F.lit("completeness").alias("claim_type"), F.lit(METHOD["completeness"]).alias("method"), normalised(text).alias("normalised"), F.lit(1).alias("number"))
-    every = each.unionByName(gaps)
+    every = each.unionByName(gaps) if not families or "completeness" in families else each
     return every.select(
         claim_id(F.col("document_id"), F.col("span_id"), F.col("normalised"), F.col("method"), F.col("number")).alias("claim_id"),
         "document_id",

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Families in order, schema names and words that reports avoid.
 FAMILIES = ("audit_run", "document", "span", "claim", "citation", "source", "evidence_link", "finding")
-KEYS = {"document": "document_id", "span": "span_id", "claim": "claim_id", "citation": "mention_id", "source": "source_id", "evidence_link": "evidence_link_id", "finding": "eco_id"}
+KEYS = {"audit_run": "run_id", "document": "document_id", "span": "span_id", "claim": "claim_id", "citation": "mention_id", "source": "source_id", "evidence_link": "evidence_link_id", "finding": "eco_id"}
 SCHEMA = "graph.v1"
 AVOIDED = ("non-compliant", "noncompliant", "regulatory failure", "false claim", "nb will reject", "notified body will reject", "mdr violation", "unsupported", "must ", "shall ")
 # End of the fixed values.
@@ -33,6 +33,11 @@ def records(families: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def audit_run(spark: SparkSession, run: str, dossier: str, counts: dict[str, int]) -> DataFrame:
+    """The one record of a run itself."""
+    return spark.createDataFrame([(run, dossier, dict(sorted(counts.items())))], "run_id string, dossier_path string, artifact_counts map<string,int>")
+
+
 def unresolved_ids(findings: DataFrame, record_ids: DataFrame) -> DataFrame:
     """Ids that findings name and no record has, once each."""
     named = findings.select(F.explode("affected_object_ids").alias("record_id")).where("record_id is not null").distinct()
@@ -46,6 +51,12 @@ def avoided_words(findings: DataFrame) -> DataFrame:
     return findings.select("eco_id", F.explode(held).alias("word"))
 
 
+def check_language(findings: DataFrame) -> None:
+    """Raises if a finding's texts hold an avoided word, naming some of them."""
+    if found := avoided_words(findings).orderBy("eco_id", "word").limit(5).collect():
+        raise ValueError("avoided words: " + ", ".join(f"{r.word!r} in {r.eco_id}" for r in found))
+
+
 def sorted_warnings(warnings: str = "parse_warnings"):
     """Warning structs in the order code, path, location, message."""
     return F.array_sort(warnings, lambda a, b: F.when(_key(a) < _key(b), -1).when(_key(a) > _key(b), 1).otherwise(0))

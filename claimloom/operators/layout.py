@@ -45,15 +45,15 @@ def heading_levels(sizes: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("level", level).where(F.col("level") <= LEVELS)
 
 
-def lines_of(chars: DataFrame) -> DataFrame:
-    """Characters (page, top, x0, size, text) as lines (page, line_no, top, size, text).
+def lines_of(chars: DataFrame, *by: str) -> DataFrame:
+    """Characters (``by``, page, top, x0, size, text) as lines (``by``, page, line_no, top, size, text).
 
     Characters run from top to bottom and left to right; one further than
     ``LINE_GAP`` from the first of its line begins a new line. The fold runs in
     the row of each page.
     """
     rows = chars.withColumn("y", F.round("top", 1))
-    rows = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "size", "text"))).alias("chars"))
+    rows = rows.groupBy(*by, "page").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "size", "text"))).alias("chars"))
     empty = F.array().cast("array<struct<top:double,sizes:array<double>,text:string>>")
 
     def step(acc: Column, c: Column) -> Column:
@@ -63,16 +63,19 @@ def lines_of(chars: DataFrame) -> DataFrame:
         fresh = F.struct(c["y"].cast("double").alias("top"), F.array(c["size"].cast("double")).alias("sizes"), c["text"].alias("text"))
         return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
 
-    rows = rows.select("page", F.posexplode(F.aggregate("chars", empty, step)).alias("line_no", "l"))
+    rows = rows.select(*by, "page", F.posexplode(F.aggregate("chars", empty, step)).alias("line_no", "l"))
     mean = F.aggregate("l.sizes", F.lit(0.0), lambda a, x: a + x) / F.size("l.sizes")
-    return rows.select("page", "line_no", "l.top", mean.alias("size"), "l.text")
+    return rows.select(*by, "page", "line_no", "l.top", mean.alias("size"), "l.text")
 
 
-def outside_boxes(chars: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``chars`` (page, x0, x1, top, bottom) whose centre lies in none of ``boxes`` of its page."""
-    boxes = boxes.select(F.col("page").alias("p"), F.col("x0").alias("l"), F.col("x1").alias("r"), F.col("top").alias("t"), F.col("bottom").alias("b"))
+def outside_boxes(chars: DataFrame, boxes: DataFrame, *by: str) -> DataFrame:
+    """``chars`` (``by``, page, x0, x1, top, bottom) whose centre lies in none of ``boxes`` of its page."""
+    boxes = boxes.select(*[F.col(c).alias(f"of_{c}") for c in by], F.col("page").alias("p"), F.col("x0").alias("l"), F.col("x1").alias("r"), F.col("top").alias("t"), F.col("bottom").alias("b"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    return chars.join(boxes, (F.col("page") == F.col("p")) & x.between(F.col("l"), F.col("r")) & y.between(F.col("t"), F.col("b")), "left_anti")
+    same = F.col("page") == F.col("p")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"of_{c}"))
+    return chars.join(boxes, same & x.between(F.col("l"), F.col("r")) & y.between(F.col("t"), F.col("b")), "left_anti")
 
 
 def pipe_table(cells: Column) -> Column:
@@ -109,9 +112,10 @@ def skipped(text: Column) -> Column:
 
 
 def assembled(lines: DataFrame, levels: DataFrame, running: DataFrame, *by: str) -> DataFrame:
-    """One text per ``by``: page marks, headings by size, body lines; skipped and running lines left out.
+    """A row per ``by`` and page, in the order of page: page mark, headings by size, body lines; skipped and running lines left out.
 
-    lines: ``by``, page, line_no, size, text.
+    lines: ``by``, page, line_no, size, text. A document may be long beyond any
+    row, so its pages stay apart; joined in order they are its text.
     """
     keys = list(by)
     rows = normalise(lines.withColumn("text", strip(F.col("text"))).where("text <> ''").join(running.select(*by, "text").distinct(), [*keys, "text"], "left_anti"))
@@ -121,6 +125,6 @@ def assembled(lines: DataFrame, levels: DataFrame, running: DataFrame, *by: str)
     body = F.when(F.col("level").isNull() & after.isNotNull(), F.concat(F.lit("\n"), body)).otherwise(body)
     rows = rows.select(*by, "page", "line_no", body.alias("body"))
     marks = lines.select(*by, "page").distinct().select(*by, "page", F.lit(-1).alias("line_no"), F.concat(F.lit("\n<!-- page="), F.col("page"), F.lit(" -->\n")).alias("body"))
-    rows = rows.unionByName(marks).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "body"))).alias("parts"))
+    rows = rows.unionByName(marks).groupBy(*by, "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("parts"))
     whole = F.array_join(F.transform("parts", lambda p: p["body"]), "")
-    return rows.select(*by, F.regexp_replace(whole, r"\n{4,}", "\n\n\n").alias("markdown_text"))
+    return rows.select(*by, "page", F.regexp_replace(whole, r"\n{4,}", "\n\n\n").alias("markdown_text"))

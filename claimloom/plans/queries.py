@@ -85,13 +85,13 @@ def citation_mention_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def count_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the count form of spans that are evidence text."""
-    found = claim_rows(spark, sf_dir)
+    found = claims.claims(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir), "numeric").distinct()
     return found.where(F.col("extraction_method") == claims.METHOD["count"]).select("claim_id", "span_id", "text")
 
 
 def percentage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of percentage claims per span."""
-    found = claim_rows(spark, sf_dir)
+    found = claims.claims(delivered_spans(spark, sf_dir), documents_of(spark, sf_dir), "numeric").distinct()
     return found.where(F.col("extraction_method") == claims.METHOD["percentage"]).groupBy("span_id").agg(F.count("*").alias("n"))
 
 
@@ -201,7 +201,7 @@ def layout_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of each document as one text without running lines."""
+    """The pages of each document without running lines."""
     lines = written(_page_lines(spark, sf_dir).withColumn("size", F.lit(10.0)), "page-lines")
     levels = layout.heading_levels(lines.select("document_id", "size"), "document_id")
     return layout.assembled(lines, levels, layout.running_lines(lines, "document_id"), "document_id")

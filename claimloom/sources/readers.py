@@ -273,15 +273,13 @@ def parse(path: str, data: bytes | None, size: int) -> tuple[list[Span], list[Wa
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-
     for df in batches:
         out = []
-        for path, data, size in zip(df["path"], df["content"], df["length"]):
+        for path, data, size, digest in zip(df["path"], df["content"], df["length"], df["sha256"]):
             spans, warnings = parse(path, data, size)
             spans = [dict(zip(("kind", "index", "label", "section", "text"), s)) for s in spans]
             warnings = [{"code": c, "message": m, "path": path, "location": loc} for c, m, loc in warnings]
-            out.append((path, hashlib.sha256(data or b"").hexdigest(), size, spans, warnings))
+            out.append((path, digest, size, spans, warnings))
         yield pd.DataFrame(out, columns=["path", "sha256", "size", "spans", "warnings"])
 
 
@@ -295,7 +293,7 @@ def load_dossier(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     place = F.element_at(F.split("path", base.removeprefix("file://").replace("\\", "\\\\"), 2), -1)
     content = F.when(F.col("length") <= MAX_BYTES, F.col("content"))
-    rows = files.select(place.alias("path"), content.alias("content"), "length").mapInPandas(_parsed, PARSED)
+    rows = files.select(place.alias("path"), content.alias("content"), "length", F.sha2("content", 256).alias("sha256")).mapInPandas(_parsed, PARSED)
     suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]*)$", 1))
     supported = suffix.isin(*READERS)
     codes = F.transform("warnings", lambda w: w["code"])

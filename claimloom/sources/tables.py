@@ -38,8 +38,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset and Spark runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         local = f"{tempfile.gettempdir()}/claimloom-{spark.sparkContext.applicationId}"
         if local not in _local:
@@ -56,15 +58,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     of executors, and keep columns prunable, which a checkpoint would not.
     Zstandard packs tighter, and needs no direct buffers that wait for a collection.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/claimloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+def clear_written(spark: SparkSession) -> None:
+    """Removes all tables that this application has ``written``; no result that still reads them may be pending."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/claimloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    Counts no more than ``rows`` + 1 rows; meant for narrow tables that are
-    written or cheap to read. Beyond the bound the join is left to the planner.
+
+def small(df: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, else as it is.
+
+    Reads no more than ``rows`` + 1 rows; meant for narrow tables that are
+    written or cheap to read. Beyond the bounds the join is left to the planner.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    n_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(n_bytes.cast("bigint"))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df

@@ -225,6 +225,8 @@ def test_rule_matches(spark):
 
 def test_layout(spark):
     chars = [(1, 10.0, float(x), 12.0, c) for x, c in enumerate("Head")] + [(1, 11.9 + 0.2 * x, float(x), 9.0, c) for x, c in enumerate("ab")] + [(1, 20.0, 0.0, 9.0, "z"), (2, 1.0, 0.0, 9.0, "q")]
+    two = spark.createDataFrame([("a", 1, 0.0, 0.0, 9.0, "x"), ("b", 1, 0.0, 0.0, 9.0, "y")], "doc string, page int, top double, x0 double, size double, text string")
+    assert sorted((r.doc, r.text) for r in layout.lines_of(two, "doc").collect()) == [("a", "x"), ("b", "y")]
     lines = layout.lines_of(spark.createDataFrame(chars, "page int, top double, x0 double, size double, text string"))
     assert [(r.page, r.line_no, r.text) for r in lines.orderBy("page", "line_no").collect()] == [(1, 0, "Heada"), (1, 1, "b"), (1, 2, "z"), (2, 0, "q")]
     sizes = layout.heading_levels(spark.createDataFrame([(s,) for s in (20.04, 20.0, 14.0, 12.0, 11.6, 11.0)], "size double"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import hashlib
 import json
 import zipfile
 import zlib
@@ -96,7 +97,15 @@ def test_dossier_to_package(spark, tmp_path):
     first = (out / "manifest.json").read_bytes()
     pipeline.verify(spark, str(source), str(out))
     assert (out / "graph.jsonl").read_bytes() == graph and (out / "manifest.json").read_bytes() == first and (out / "kept.txt").exists()
-    assert json.loads(first)["unresolved_affected_ids"] == 0
+    manifest, report = json.loads(first), json.loads((out / "report.json").read_text())
+    assert sorted(manifest) == sorted(["manifest_schema_version", "run_id", "input_documents", "artifact_hashes", "artifact_counts", "extraction_methods", "checker_ids", "linking_methods", "unresolved_affected_ids", "known_limitations"])
+    assert manifest["unresolved_affected_ids"] == [] and manifest["artifact_counts"] == counts and counts["graph_records"] == graph.count(b"\n") == 1 + sum(n for k, n in counts.items() if k != "graph_records")
+    assert all(hashlib.sha256((out / name).read_bytes()).hexdigest() == digest for name, digest in manifest["artifact_hashes"].items()) and set(manifest["artifact_hashes"]) == {"graph.jsonl", "findings.csv", "report.json", "findings.xlsx", "report.docx"}
+    assert first == (json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()
+    assert json.loads(graph.split(b"\n")[0])["record"].startswith('{"record_type":"audit_run"') and len(report["findings_detail"]) == counts["findings"] and [d["document_id"] for d in report["input_documents"]] == sorted(d["document_id"] for d in manifest["input_documents"])
+    readme = next(d for d in manifest["input_documents"] if d["path"] == "README.md")
+    assert readme["sha256"] == hashlib.sha256(b"text").hexdigest() and readme["parse_warning_codes"] == ["unsupported_file_type"]
+    assert "manifest.json: missing" not in sinks.listing(str(out)) and "guidance_review.md: missing" in sinks.listing(str(out))
     with pytest.raises(ValueError):
         sinks.check_output(str(source), str(source / "x"))
     assert pipeline.main([str(tmp_path / "none"), "--out", str(out)]) == 2
