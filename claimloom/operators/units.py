@@ -152,6 +152,11 @@ def _automaton() -> ahocorasick.Automaton:
     return made
 
 
+@lru_cache(maxsize=None)
+def _longest() -> int:
+    return max(map(len, _automaton().keys()))
+
+
 def _meant(units: list[tuple[str, str, str]], written: str, quantity: str) -> tuple[str, str]:
     """(quantity, unit) of the best reading of ``written``."""
     best = min(units, key=lambda u: (u[0] != quantity, u[2] != written))
@@ -163,7 +168,7 @@ def unit_at(text: str, at: int, quantity: str) -> tuple[str, str, int] | None:
     best, low = None, text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for last, (spelling, units) in _automaton().iter(low, at, min(len(low), at + 40)):
+    for last, (spelling, units) in _automaton().iter(low, at, min(len(low), at + _longest())):
         end = last + 1
         if end - len(spelling) == at and (end == len(low) or not spelling[-1].isalnum() or not (low[end].isalnum() or low[end] in "/^")):
             best = (*_meant(units, text[at:end], quantity), end)
@@ -190,6 +195,8 @@ def in_field(unit: str | None, quantity: str) -> tuple[list[float], tuple[str, s
     if m := NUMBER.match(text):
         rest = m.end() + (text[m.end() : m.end() + 1] == " ")
         return _readings(m[0]), whole(rest) or None
+    if (found := unit_at(text, 0, quantity)) and (m := NUMBER.fullmatch(text[found[2] :].lstrip(" :="))):
+        return _readings(m[0]), found[:2]
     return [], None
 
 
@@ -249,7 +256,7 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     rounded half up, both null unless converted or common.
 
     Equal repeated facts give one row; facts that share a gold_id but differ
-    give one row each. Null units and values are looked up in the span; a null
+    give one row each; of labels and spans with one id that differ the first in order counts. Null units and values are looked up in the span; a null
     or unknown span_id, or a null text, gives nothing to look up. Spans are read
     only for facts whose field names no unit or number; their ids are broadcast
     if there are at most ``broadcast_ids`` of them, else joined by a shuffle.
@@ -257,14 +264,14 @@ def common_units(facts: DataFrame, spans: DataFrame, labels: DataFrame, broadcas
     spark = facts.sparkSession
     level = F.col("confidence_interval")
     facts = facts.select("gold_id", "span_id", "label", "value", "unit", level["lower"].alias("lower"), level["upper"].alias("upper")).distinct()
-    labels = labels.select("label", "quantity", "common_unit", "decimals").where("label is not null").dropDuplicates(["label"])
+    labels = labels.where("label is not null").groupBy("label").agg(F.min(F.struct("quantity", "common_unit", "decimals")).alias("l")).select("label", "l.*")
     facts = facts.join(small(labels), "label", "left")
     known = facts.where("common_unit is not null")
     known = written(known.withColumn("unsure", _lacking("unit", "value")), "facts")
     lost = known.where("unsure")
     ids = lost.select("span_id").where("span_id is not null").distinct()
     texts = spans.select("span_id", "text").join(small(ids, broadcast_ids), "span_id", "left_semi")
-    lost = lost.join(texts.dropDuplicates(["span_id"]), "span_id", "left")
+    lost = lost.join(texts.groupBy("span_id").agg(F.min("text").alias("text")), "span_id", "left")
     both = known.where("not unsure").withColumn("text", F.lit(None).cast("string")).unionByName(lost)
     schema = "gold_id string, label string, number double, found_quantity string, found_unit string"
     read = both.select("gold_id", "label", "quantity", "value", "unit", "lower", "upper", "text").mapInPandas(_read, schema)

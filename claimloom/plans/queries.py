@@ -120,11 +120,11 @@ def _end_to_end(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _end_to_end(spark, sf_dir)[3]
+    return _end_to_end(spark, sf_dir)[3].withColumn("candidate_source_ids", F.array_join("candidate_source_ids", ","))
 
 
 def pipeline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _end_to_end(spark, sf_dir)[4]
+    return _end_to_end(spark, sf_dir)[4].withColumn("affected_object_ids", F.array_join("affected_object_ids", ";"))
 
 
 def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +242,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from claimloom.plans.sql import SQL
+    from claimloom.plans import claims_sql, sql
 
-    return SQL
+    return sql.SQL | claims_sql.SQL

@@ -19,7 +19,7 @@ LABELS = [
         ("g", "mass", [], "g"), ("℉", "temperature", [], "degF"), ("ºC", "temperature", [], "degC"), ("％", "proportion", [], "percent"), ("(0-1)", "proportion", [], "fraction"), ("per 10 000", "proportion", [], "per 10000"),
         ("Gauss / cm", "fieldgradient", [], "G/cm"), ("W kg-1", "absorption", [], "W/kg"), ("d", "duration", [], "d"), ("d", "followup", [], "day"), ("mN", "force", [], "mN"),
         ("approx. 12.3 min.", "duration", [12.3], "min"), ("= 85,6 millimetres of mercury", "pressure", [85.6], "mmHg"), ("153000µL", "volume", [153000.0], "µL"), ("541 x 10^-3 T", "fluxdensity", [541.0], "mT"), ("0.3%", "proportion", [0.3], "percent"),
-        ("see text", "length", [], None), ("units", "length", [], None), (None, "length", [], None), ("", "length", [], None), ("?", "length", [], None),
+        ("kPa 12", "pressure", [12.0], "kPa"), ("mm Hg: 85,6", "pressure", [85.6], "mmHg"), ("kPa (abs)", "pressure", [], None), ("see text", "length", [], None), ("units", "length", [], None), (None, "length", [], None), ("", "length", [], None), ("?", "length", [], None),
     ],
 )
 def test_fields(text, quantity, numbers, unit):
