@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.sources.tables import written
+from claimloom.sources.tables import small, written
 
 # Letters that look alike, one class per word, its Latin letter first.
 CLASSES = (
@@ -43,6 +43,7 @@ JOINED = "ĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"
 WORDS = ("verbatim", "whitespace_normalised")
 # End of the fixed values.
 
+SPLIT = 10_000  # rows of one look in one task
 SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee")
 FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}ɡʙᴋᴍᴛ]")
 TOKEN = regex.compile(r"[\p{L}\p{M}]+")
@@ -170,15 +171,19 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Null keys and texts take no part; repeated rows count once; two texts under
     one key make no pair with each other. The looks that occur in two spellings
     are found by an aggregate of one row per look and task; only rows of such
-    looks are joined, so a text copied without change costs no pair.
+    looks are joined, so a text copied without change costs no pair. The rows of
+    a look that has more than ``SPLIT`` are spread over several tasks.
     """
     digest = lambda c: F.unhex(F.md5(c))
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
     rows = written(rows.select("k", digest(looks(F.col("t"))).alias("look"), digest("t").alias("spelling")), "looks")
     twice = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("look")
-    rows = rows.join(twice, "look", "left_semi").distinct()
-    other = rows.select("look", F.col("k").alias("key_b"), F.col("spelling").alias("s"))
-    pairs = rows.withColumnRenamed("k", "key_a").join(other, "look").where("key_a < key_b and spelling <> s")
+    rows = written(rows.join(twice, "look", "left_semi").distinct(), "looks-in-two-spellings")
+    hot = rows.groupBy("look").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    rows = rows.join(small(hot), "look", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / SPLIT), F.lit(1)).cast("int"))
+    one = rows.select("look", F.col("k").alias("key_a"), "spelling", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("part"))
+    other = rows.select("look", F.col("k").alias("key_b"), F.col("spelling").alias("s"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = one.join(other, ["look", "part"]).where("key_a < key_b and spelling <> s")
     return pairs.select("key_a", "key_b").distinct()
 
 

@@ -31,6 +31,7 @@ h AS (SELECT doc_id, item_id, count(*) AS held, any_value(n) AS n FROM i JOIN d
 """
 
 LETTERS = "regexp_replace(lower(line), '[^\\p{L}]+', '', 'g')"
+SAME = "key = centre OR (abs(length(key) - length(centre)) <= 2 AND least(length(key), length(centre)) >= 4 AND levenshtein(key, centre) <= CASE WHEN least(length(key), length(centre)) >= 6 THEN 2 ELSE 1 END)"
 P3 = f"""
 WITH t AS (SELECT DISTINCT dossier_id, document_id, span_id, {look("text")} AS text FROM spans JOIN dossier_documents USING (document_id)
   WHERE location_kind IN ('page', 'paragraph') AND dossier_id IS NOT NULL),
@@ -39,10 +40,13 @@ x AS (SELECT dossier_id, document_id, span_id, unnest(string_split(text, chr(10)
 l AS (SELECT *, CASE WHEN {LETTERS} <> '' THEN {LETTERS} WHEN regexp_matches(line, '\\S') THEN '#' END AS key FROM x),
 k AS (SELECT dossier_id, key, count(DISTINCT document_id) AS docs FROM l WHERE key IS NOT NULL GROUP BY ALL),
 c AS (SELECT dossier_id, key AS centre, needed FROM k JOIN n USING (dossier_id) WHERE docs >= greatest(2, ceil(needed / 8))),
-near AS (SELECT dossier_id, centre, key, needed FROM c JOIN k USING (dossier_id) WHERE key = centre OR (abs(length(key) - length(centre)) <= 2
-  AND least(length(key), length(centre)) >= 4 AND levenshtein(key, centre) <= CASE WHEN least(length(key), length(centre)) >= 6 THEN 2 ELSE 1 END)),
-often AS (SELECT dossier_id, centre FROM near JOIN l USING (dossier_id, key) GROUP BY dossier_id, centre, needed HAVING count(DISTINCT document_id) >= needed)
-SELECT DISTINCT span_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN near USING (dossier_id, key) JOIN often USING (dossier_id, centre)
+near AS (SELECT dossier_id, centre, key, needed FROM c JOIN k USING (dossier_id) WHERE {SAME}),
+often AS (SELECT dossier_id, centre FROM near JOIN l USING (dossier_id, key) GROUP BY dossier_id, centre, needed HAVING count(DISTINCT document_id) >= needed),
+gone AS (SELECT DISTINCT dossier_id, key FROM near JOIN often USING (dossier_id, centre)),
+c2 AS (SELECT dossier_id, key AS centre, needed FROM k JOIN n USING (dossier_id) ANTI JOIN gone USING (dossier_id, key) WHERE length(key) >= 4),
+near2 AS (SELECT dossier_id, centre, key, needed FROM c2 JOIN k USING (dossier_id) WHERE {SAME}),
+often2 AS (SELECT dossier_id, centre FROM near2 JOIN l USING (dossier_id, key) GROUP BY dossier_id, centre, needed HAVING count(DISTINCT document_id) >= needed)
+SELECT DISTINCT span_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN (SELECT * FROM gone UNION SELECT dossier_id, key FROM near2 JOIN often2 USING (dossier_id, centre)) USING (dossier_id, key)
 """
 
 STOP = "see also cited from after according adapted trial study reference references number table abstract page personal note above unknown folder ibid guideline guidelines recommendation recommendations gdl gdls consensus statement etal et al and und others other".split()

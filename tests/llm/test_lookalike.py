@@ -70,3 +70,14 @@ def test_words(spark):
 def test_normalise_keeps_nulls_and_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "аbc"), (3, "аbc")], "id int, text string")
     assert sorted((r.id, r.text) for r in L.normalise(df, "text").collect() if r.text) == [(3, "abc"), (3, "abc")]
+
+
+def test_a_hot_look_is_split_without_loss(spark, monkeypatch):
+    texts = ["Dose", "Dоse", "Dose ", "dose", "Dos\u00ade"]
+    rows = [(f"k{n:02}", texts[n % 5]) for n in range(40)] + [("x", "other")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    pairs = lambda: sorted(map(tuple, L.same_look_pairs(df, "k", "t").collect()))
+    whole = pairs()
+    assert whole == sorted((a, b) for a, s in rows for b, t in rows if a < b and s != t and L.one_form(s) == L.one_form(t)) and len(whole) > 100
+    monkeypatch.setattr(L, "SPLIT", 3)
+    assert pairs() == whole
