@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+BLANKS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # what SPACE matches
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 
 
@@ -26,7 +27,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """``text`` without white space of any kind at its ends."""
-    return F.regexp_replace(text, rx(rf"^{SPACE}+|{SPACE}+\z"), "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
@@ -47,12 +48,20 @@ def count_lines(lines_: Column, pattern: str) -> Column:
     return F.size(F.filter(lines_, lambda x: x.rlike(pattern)))
 
 
-def find_all(text: Column, pattern: str, *signs: str) -> Column:
+def holds(text: Column, *signs: str) -> Column:
+    """Whether ``text`` holds one of ``signs`` as it is written."""
+    held = F.contains(text, F.lit(signs[0]))
+    for sign in signs[1:]:
+        held = held | F.contains(text, F.lit(sign))
+    return held
+
+
+def find_all(text: Column, pattern: str, *signs: str, low: bool = False) -> Column:
     """All matches as array<struct<start, end, text>>, in characters from 0.
 
     The offsets are running sums of the lengths of the gaps and matches. The
     pattern is tried only on texts that hold one of ``signs``, if any are given:
-    each match must hold one of them as it is written.
+    each match must hold one of them as it is written, or in lower case if ``low``.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -66,9 +75,7 @@ def find_all(text: Column, pattern: str, *signs: str) -> Column:
 
     tried = text.rlike(pattern)
     if signs:
-        held = F.contains(text, F.lit(signs[0]))
-        for sign in signs[1:]:
-            held = held | F.contains(text, F.lit(sign))
+        held = let(F.lower(text), lambda x: holds(x, *signs)) if low else holds(text, *signs)
         tried = F.when(held, tried).otherwise(False)
     return F.when(tried, F.aggregate(pairs, none, step)).otherwise(none)
 

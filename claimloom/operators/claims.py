@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.ids import claim_id
-from claimloom.functions.text import blocked, find_all, let, normalised, occurrences, rx, strip
+from claimloom.functions.text import blocked, find_all, holds, let, normalised, occurrences, rx, strip
 from claimloom.operators import spans as noise
 from claimloom.operators.citations import mentions_of
 
@@ -69,6 +69,11 @@ METHOD = {
 }
 # End of the fixed values.
 
+# What each match of a pattern holds in lower case; few texts hold any of it.
+OF_UNITS = ("mmhg", "atm", "gauss/cm", "w/kg", "°c", "day", "year")
+OF_STANDARDS = ("iso", "iec", "astm", "usp-nf", "en ", "en\t")
+OF_PERFORMANCE = ("endpoint", "response", "sensitivity", "specificity", "performance", "intended", "outcome", "efficacy", "effectiveness")
+
 CLAIM = "array<struct<text:string,claim_type:string,method:string,normalised:string,number:int>>"
 FOUND = "array<struct<start:int,end:int,text:string>>"
 
@@ -94,7 +99,7 @@ def numeric(text: Column) -> Column:
     def given(both: Column) -> Column:
         shown = _with_text(both, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], PERCENT_CI, 1), strip(F.regexp_extract(m["text"], PERCENT_CI, 2))))
         free = lambda rows: F.filter(rows, lambda m: ~blocked(both, m["start"], m["end"]))
-        bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT, "%")), free(find_all(text, PERCENT_WORD))))
+        bare = F.when(noise.sizing_table(text), F.array().cast(FOUND)).otherwise(F.concat(free(find_all(text, PERCENT, "%")), free(find_all(text, PERCENT_WORD, "percent", low=True))))
         trimmed = lambda rows: _with_text(rows, lambda m: strip(m["text"]))
         return F.concat(
             _claims(F.concat(shown, trimmed(bare)), "numeric", "percentage"),
@@ -113,23 +118,25 @@ def value_unit(text: Column) -> Column:
     burst = F.filter(find_all(text, BURST, "RBP"), lambda m: (mark >= 0) & (F.abs(m["start"] - mark) <= BURST_WINDOW))
     wide = lambda m: F.when(mark < m["end"], F.substring(text, mark + 1, m["end"] - mark)).otherwise("")
     burst = F.transform(burst, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(i == 0, wide(m)).otherwise(m["text"]).alias("text")))
-    passes = [find_all(text, p, *signs) for p, *signs in ((RANGE,), (MEAN_SD, "±"), (DRIFT,), (WORDED,), (SIGNED, "≥", "≤", ">", "<"), (SINGLE,))]
-    kept = F.aggregate(F.concat(*passes, tesla, burst).cast(FOUND), F.array().cast(FOUND), lambda acc, m: F.when(blocked(acc, m["start"], m["end"]), acc).otherwise(F.concat(acc, F.array(m))))
+    passes = [find_all(text, p, *signs) for p, *signs in ((RANGE, "to", "TO", "To", "tO"), (MEAN_SD, "±"), (DRIFT,), (WORDED,), (SIGNED, "≥", "≤", ">", "<"), (SINGLE,))]
+    passes = F.when(let(F.lower(text), lambda low: holds(low, *OF_UNITS)), F.concat(*passes)).otherwise(F.array().cast(FOUND))
+    kept = F.aggregate(F.concat(passes, tesla, burst).cast(FOUND), F.array().cast(FOUND), lambda acc, m: F.when(blocked(acc, m["start"], m["end"]), acc).otherwise(F.concat(acc, F.array(m))))
     return _claims(kept, "numeric", "value_unit")
 
 
 def entities(text: Column) -> Column:
     """Device classes, labels, codes and standards."""
-    first = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), strip(F.regexp_extract(text, p, 0)).alias("text"))) for p in CLASSES]))
-    labelled = lambda label, code: F.when(text.rlike(label), find_all(text, code)).otherwise(F.array().cast(FOUND))
-    standards = F.filter(find_all(text, STANDARD), lambda m: F.regexp_extract(m["text"], STANDARD, 2).rlike(r"(?U)\d") & (F.length(F.regexp_extract(m["text"], STANDARD, 2)) >= 3))
+    low = F.lower(text)
+    first = F.array_compact(F.array(*[F.when(holds(low, "medical") & text.rlike(p), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), strip(F.regexp_extract(text, p, 0)).alias("text"))) for p in CLASSES]))
+    labelled = lambda label, code, *signs: F.when(holds(low, *signs) & text.rlike(label), find_all(text, code)).otherwise(F.array().cast(FOUND))
+    standards = F.filter(find_all(text, STANDARD, *OF_STANDARDS, low=True), lambda m: F.regexp_extract(m["text"], STANDARD, 2).rlike(r"(?U)\d") & (F.length(F.regexp_extract(m["text"], STANDARD, 2)) >= 3))
     standards = _with_text(standards, lambda m: F.concat_ws(" ", F.regexp_extract(m["text"], STANDARD, 1), F.regexp_extract(m["text"], STANDARD, 2)))
     return F.concat(
         _claims(first, "classification", "class", numbered=False),
         _claims(find_all(text, MR_CONDITIONAL, "MR"), "classification", "mr_conditional", "text"),
-        _claims(find_all(text, BODY_NUMBER), "classification", "nb_number", "text"),
-        _claims(labelled(UDI_LABEL, UDI_CODE), "classification", "basic_udi_di", "text"),
-        _claims(labelled(EMDN_LABEL, EMDN_CODE), "classification", "emdn_code", "text"),
+        _claims(find_all(text, BODY_NUMBER, "nb", "notified", low=True), "classification", "nb_number", "text"),
+        _claims(labelled(UDI_LABEL, UDI_CODE, "udi", "eudamed"), "classification", "basic_udi_di", "text"),
+        _claims(labelled(EMDN_LABEL, EMDN_CODE, "emdn"), "classification", "emdn_code", "text"),
         _claims(standards, "standard_reference", "standard", "text"),
     )
 
@@ -141,7 +148,7 @@ def performance(text: Column, kind: Column) -> Column:
     """
 
     def windows(body: Column) -> Column:
-        words = F.concat(find_all(body, PERFORMANCE), F.when(body != text, find_all(body, PERFORMANCE_BARE)).otherwise(F.array().cast(FOUND)))
+        words = F.concat(find_all(body, PERFORMANCE, *OF_PERFORMANCE, low=True), F.when(body != text, find_all(body, PERFORMANCE_BARE, "outcome", "incidence", low=True)).otherwise(F.array().cast(FOUND)))
 
         def window(m: Column) -> Column:
             start = F.greatest(m["start"] - PERFORMANCE_WINDOW, F.lit(0))

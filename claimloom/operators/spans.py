@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import collapse, count_lines, let, lines, rx, strip
+from claimloom.functions.text import collapse, count_lines, holds, let, lines, rx, strip
 from claimloom.sources.tables import small
 
 # Patterns and word lists.
@@ -60,17 +60,21 @@ def contents(text: Column | str = "text", kind: Column | str = "location_kind",
     found = lines(text) if found is None else found
     leaders = count_lines(found, CONTENTS_LINE)
     titled = F.contains(F.lower(F.get(found, F.lit(0))), F.lit("table of contents"))
-    return F.coalesce((titled & (leaders >= 1)) | ((kind == "page") & (leaders >= 3)), F.lit(False))
+    return F.coalesce(holds(text, "...") & ((titled & (leaders >= 1)) | ((kind == "page") & (leaders >= 3))), F.lit(False))
 
 
 def heading(text: Column | str = "text", section: Column | str = "section", kind: Column | str = "location_kind") -> Column:
     """A paragraph that is its section's title, or a page that is a short numbered heading."""
     text, section, kind = _columns(text, section, kind)
-    flat = collapse(text)
-    title = (kind == "paragraph") & (strip(section) != "") & (flat == collapse(section))
-    short = (F.length(flat) <= 140) & (F.size(F.split(flat, " ")) <= 12) & ~F.right(flat, F.lit(1)).isin(".", ";", ":")
-    page = (kind == "page") & section.isNull() & short & flat.rlike(NUMBERED_HEADING)
-    return F.coalesce((flat != "") & (F.coalesce(title, F.lit(False)) | page), F.lit(False))
+    title = (kind == "paragraph") & (strip(section) != "") & (F.left(strip(text), F.lit(1)) == F.left(strip(section), F.lit(1)))
+    title = F.when(title, let(collapse(text), lambda flat: (flat != "") & (flat == collapse(section))))
+
+    def numbered(flat: Column) -> Column:
+        short = (F.length(flat) <= 140) & (F.size(F.split(flat, " ")) <= 12) & ~F.right(flat, F.lit(1)).isin(".", ";", ":")
+        return short & flat.rlike(NUMBERED_HEADING)
+
+    page = F.when((kind == "page") & section.isNull(), let(collapse(text), numbered))
+    return F.coalesce(title, page, F.lit(False))
 
 
 def chrome(text: Column | str = "text", kind: Column | str = "location_kind", found: Column | None = None) -> Column:
@@ -92,9 +96,9 @@ def appendix(text: Column | str = "text", found: Column | None = None) -> Column
 def guidance(text: Column | str = "text", document_kind: Column | None = None) -> Column:
     """Guidance or template prose, in documents of kind OTHER or unknown."""
     (text,) = _columns(text)
-    flat = collapse(text)
     other = F.lit(True) if document_kind is None else F.coalesce(document_kind == "OTHER", F.lit(True))
-    return F.coalesce(other & flat.rlike(GUIDANCE_TERM) & flat.rlike(MODAL_TERM), F.lit(False))
+    said = F.when(other & holds(F.lower(text), "guidance", "template"), let(collapse(text), lambda flat: flat.rlike(GUIDANCE_TERM) & flat.rlike(MODAL_TERM)))
+    return F.coalesce(said, F.lit(False))
 
 
 def citation_noise() -> Column:
@@ -112,7 +116,8 @@ def sizing_table(text: Column | str = "text") -> Column:
     (text,) = _columns(text)
     codes = F.regexp_count(text, F.lit(MODEL_CODE))
     many = (codes >= 2) & (F.size(lines(text)) >= 4) & (F.regexp_count(text, F.lit(PERCENTAGE)) >= 2)
-    return F.coalesce(text.rlike(CHART_TITLE) | (text.rlike(SHORTENING) & (codes >= 1)) | many, F.lit(False))
+    coded = F.when(holds(text, "CP"), (text.rlike(SHORTENING) & (codes >= 1)) | many).otherwise(False)
+    return F.coalesce((holds(F.lower(text), "foreshortening") & text.rlike(CHART_TITLE)) | coded, F.lit(False))
 
 
 def classified(spans: DataFrame, documents: DataFrame) -> DataFrame:
