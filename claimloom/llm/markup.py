@@ -56,9 +56,9 @@ RAW = re.compile(
     r"|(?P<dollar>(?<![\\$\w])\$(?=[^\s$])(?P<dollared>(?:\\\$|[^$\n]|\n(?!\s*\n))+?)(?<![\s\\])\$(?![\w$])))",
     re.S | re.M | re.I,
 )
-PAIRS = [(re.compile(rf"<{x}(?:\s[^<>]*)?(?<!/)>", re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style", "head", "ref", "math")]
-PAIRS += [(re.compile(rf"\\begin\{{{x}\*?\}}"), re.compile(rf"\\end\{{{x}\*?\}}")) for x in ("equation", "displaymath", "math", "align", "gather", "multline", "eqnarray")]
-PAIRS += [(re.compile(rf"(?<!\\)\\\{a}"), re.compile(rf"\\\{b}")) for a, b in ("[]", "()")]
+PAIRS = [(f"<{x}", re.compile(rf"<{x}(?:\s[^<>]*)?(?<!/)>", re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style", "head", "ref", "math")]
+PAIRS += [(f"\\begin{{{x}", re.compile(rf"\\begin\{{{x}\*?\}}"), re.compile(rf"\\end\{{{x}\*?\}}")) for x in ("equation", "displaymath", "math", "align", "gather", "multline", "eqnarray")]
+PAIRS += [(f"\\{a}", re.compile(rf"(?<!\\)\\\{a}"), re.compile(rf"\\\{b}")) for a, b in ("[]", "()")]
 ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(.*\S.*)$")
 WIKI_HEAD = re.compile(r"^(={1,6})\s*(.*?)\s*(={1,6})\s*$")
@@ -130,7 +130,10 @@ def _fence_indented(text: str) -> str:
 
 def _closed(text: str) -> str:
     """``text`` without the tags and environments that are opened but never closed behind, so that none is looked for in vain."""
-    for opening, closing in PAIRS:
+    low = text.lower()
+    for sign, opening, closing in PAIRS:
+        if sign not in low:
+            continue
         last = max((m.start() for m in closing.finditer(text)), default=-1)
         head, tail = text[: last + 1], text[last + 1 :]
         text = head + opening.sub(lambda m: "\n\n" if "begin" in m[0] else f"&#{ord(m[0][1])};" if len(m[0]) == 2 else "", tail)
