@@ -24,6 +24,21 @@ def test_shares_and_caps(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_a_wanted_size_and_the_spread_to_expect(spark):
+    counts = spark.createDataFrame([(k, "a" if k % 4 else "b", 50 + k % 100) for k in range(6000)], COUNTS)
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], TARGETS)
+    reached = []
+    for seed in range(12):
+        rows = {r.source: r for r in M.mix(counts, targets, seed, wanted=200_000)[1].collect()}
+        reached.append(rows["b"].reached_share)
+        assert abs(sum(r.n_tokens for r in rows.values()) - 200_000) < 15_000
+    mean = sum(reached) / len(reached)
+    seen = (sum((x - mean) ** 2 for x in reached) / (len(reached) - 1)) ** 0.5
+    assert abs(mean - 0.5) < 0.02 and 0.2 < seen / rows["b"].spread < 2.5
+    sizes = spark.createDataFrame([("a", 100), ("b", 10)], "source string, n_tokens bigint")
+    assert {r.source: r.rate for r in M.rates(sizes, targets, 1000).collect()} == {"a": 0.3, "b": 3.0}
+
+
 def test_enough_of_everything_gives_the_whole(spark):
     counts = [(1, "a", 100), (2, "b", 100)]
     mixed, report = M.mix(spark.createDataFrame(counts, COUNTS), spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], TARGETS))
