@@ -223,14 +223,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model
 
     Beyond ``sample`` ratings those of the documents first in hash order count.
     Ratings without a level, or of documents unknown or without text, are left
-    out; raters without a name are one rater.
+    out; raters without a name are one rater. Of documents of one id that differ
+    the first in order counts.
     """
     labels = labels.select("doc_id", F.coalesce("rater", F.lit("")).alias("rater"), "reading_level").where("doc_id is not null and reading_level is not null").distinct()
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "rater", "reading_level").limit(sample)
     rated = labels.toPandas()
     ids = documents.sparkSession.createDataFrame(rated[["doc_id"]].drop_duplicates(), labels.select("doc_id").schema)
     texts = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("doc_id is not null and text is not null")
-    texts = texts.join(small(ids, sample), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = texts.join(small(ids, sample), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("source", "text")).alias("d")).select("doc_id", "d.*")
     described = texts.mapInPandas(_described, "doc_id bigint, source string, features array<double>").toPandas()
     rated = rated.merge(described, on="doc_id")
     return train(rated) if len(rated) else None
