@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,28 @@ CENTRE = 1 / 8  # share of the documents needed from which a key is a centre at
 SHORT = 64  # letters of a key that is carried along where pieces are joined
 SPLIT = 20_000  # rows of one piece in one task
 COUNTED, MORE = "etaons", "irlduc"  # letters whose counts are compared before the letters themselves; more of them in short keys
+ONES = sum(1 << 5 * k for k in range(len(COUNTED + MORE)))  # the first bit of each lane of counts
+FOUR, FIFTH, IS_SHORT = 15 * ONES, 16 * ONES, 1 << 62
+OF_LONG = 16 * sum(1 << 5 * k for k in range(len(COUNTED)))
+PAIRS = 1 << 17  # pairs of counts compared at a time
+LETTERLESS = r"\p{P}\p{S}\p{N}\p{Zs}\p{Cf}"  # classes of signs that make or change no letter, alone or together
 BLOCKS = "dossier bigint, block bigint, n_lines int, doc bigint, span_id string, line_no int"
 
 
-def line_key(line: Column, ascii_only: Column) -> Column:
-    """The letters of a ``line`` in one form; "#" for one of digits or signs only."""
-    low = F.lower(line)
-    letters = F.when(ascii_only, F.regexp_replace(low, "[^a-z]+", "")).otherwise(F.regexp_replace(low, r"[^\p{L}]+", ""))
-    return F.when(letters != "", letters).when(line.rlike(r"\S"), "#")
+def keyed_lines(spans: DataFrame) -> DataFrame:
+    """dossier, doc, span_id, line_no, key: the lines of the ``text`` of ``spans``, and their letters in one form; "#" for lines of digits or signs only.
+
+    Foreign signs that are no letters or marks (``LETTERLESS``) leave no letter in
+    any form, so only lines with other foreign signs are brought to one form. The
+    columns are made one after the other, as a column used twice is then made once.
+    """
+    lines = spans.select("dossier", "doc", "span_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("foreign", (F.octet_length("line") != F.length("line")) & F.col("line").rlike(rf"[^\p{{ASCII}}{LETTERLESS}]"))
+    lines = lines.withColumn("form", looks(F.when(F.col("foreign"), F.col("line")), bare=True))
+    letters = F.when(F.col("foreign"), F.regexp_replace(F.lower("form"), r"[^\p{L}]+", "")).otherwise(F.regexp_replace(F.lower("line"), "[^a-z]+", ""))
+    shows = F.when(F.col("foreign"), F.col("form").rlike(r"\S")).otherwise(F.col("line").rlike(r"[^\s\p{Zs}\p{Cf}]"))
+    key = F.when(F.col("letters") != "", F.col("letters")).when(shows, "#")
+    return lines.withColumn("letters", letters).select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), key.alias("key"))
 
 
 def _allowed(n: Column) -> Column:
@@ -98,7 +113,7 @@ def _counts(key: Column) -> Column:
             counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("bigint"), 5 * k))
         return counts
 
-    return F.when(F.length(key) <= SHORT, of(COUNTED + MORE).bitwiseOR(F.lit(1 << 62))).otherwise(of(COUNTED))
+    return F.when(F.length(key) <= SHORT, of(COUNTED + MORE).bitwiseOR(F.lit(IS_SHORT))).otherwise(of(COUNTED))
 
 
 def _may_be_near(counts: Column, other: Column) -> Column:
@@ -106,16 +121,22 @@ def _may_be_near(counts: Column, other: Column) -> Column:
 
     All lanes are compared at once: the fifth bit of each keeps them apart.
     """
-    ones = sum(1 << 5 * k for k in range(len(COUNTED + MORE)))
-    four, fifth = F.lit(15 * ones), F.lit(16 * ones)
-    of_long = F.lit(16 * sum(1 << 5 * k for k in range(len(COUNTED))))
+    four, fifth, of_long, ones = map(F.lit, (FOUR, FIFTH, OF_LONG, ONES))
     moved = (counts.bitwiseAND(four).bitwiseOR(fifth) - other.bitwiseAND(four)).bitwiseAND(four)
-    over = (moved + F.lit(2 * ones)).bitwiseAND(four) + F.lit(11 * ones)
-    lanes = F.when(counts.bitwiseAND(other) >= F.lit(1 << 62), fifth).otherwise(of_long)
+    over = (moved + ones * 2).bitwiseAND(four) + ones * 11
+    lanes = F.when(counts.bitwiseAND(other) >= F.lit(IS_SHORT), fifth).otherwise(of_long)
     odd = counts.bitwiseXOR(other).bitwiseAND(F.shiftright(lanes, 4))
     return (over.bitwiseAND(lanes) == F.lit(0)) & (F.bit_count(odd) <= 4)
 
 
+def may_be_near(counts: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """As ``_may_be_near``, of two arrays of counts."""
+    moved = (((counts & FOUR) | FIFTH) - (other & FOUR)) & FOUR
+    over = ((moved + 2 * ONES) & FOUR) + 11 * ONES
+    lanes = np.where((counts & other) >= IS_SHORT, FIFTH, OF_LONG)
+    return ((over & lanes) == 0) & (np.bitwise_count((counts ^ other) & (lanes >> 4)) <= 4)
+
+
 def _is_near(key: Column, centre: Column) -> Column:
     far = F.levenshtein(key, centre, 2)
     return (far >= 0) & (far <= _allowed(F.least(F.length(key), F.length(centre))))
@@ -131,35 +152,146 @@ def _near(lines: DataFrame, centres: DataFrame) -> DataFrame:
     n, c = F.length("key"), F.length("centre")
     ranges = centres.groupBy("dossier").agg(F.min(c).alias("least"), F.max(c).alias("most"))
     lines = lines.join(small(ranges), "dossier").where((n >= 4) & (n >= F.col("least") - 2) & (n <= F.col("most") + 2))
-    asked = _own(centres.where(c >= 4), "centre", "class_id", "centre", "weight", F.col("counts").alias("of_centre")).drop("place")
+    asked = _own(centres.where(c >= 4), "centre", "dossier", "class_id", "centre", "weight", F.col("counts").alias("of_centre")).drop("place")
     few = small(asked)
     if few is not asked:
         offered = _offered(lines, "dossier", "key", "key_id", "counts")
         other = (F.col("key_id") != F.col("class_id")) & _may_be_near(F.col("counts"), F.col("of_centre"))
-        near = offered.join(few, "piece").where(other & _is_near(F.col("key"), F.col("centre")))
+        near = offered.join(few.drop("dossier"), "piece").where(other & _is_near(F.col("key"), F.col("centre")))
         return near.select("dossier", "key_id", "key", "class_id", "weight").distinct()
-    offered = _offered(lines, "dossier", "key_id", "counts", n.alias("m"), F.when(n <= SHORT, F.col("key")).alias("short")).distinct()
-    asked = asked.select("piece", "class_id", "weight", "of_centre", c.alias("n"), F.when(c <= SHORT, F.col("centre")).alias("short_centre"))
-    pairs = _met(offered, asked).where("key_id <> class_id").select("dossier", "key_id", "class_id", "weight").distinct()
+    offered = _offered(lines, F.col("key_id").alias("id"), "counts", n.alias("m"), F.when(n <= SHORT, F.col("key")).alias("short")).distinct()
+    asked = asked.select("piece", "dossier", "class_id", "weight", "of_centre", c.alias("n"), F.when(c <= SHORT, F.col("centre")).alias("short_centre"))
+    pairs = _met(offered, asked).where("id <> class_id").select("dossier", F.col("id").alias("key_id"), "class_id", "weight").distinct()
     texts = lines.select("dossier", "key_id", "key").dropDuplicates(["dossier", "key_id"])
     pairs = pairs.join(texts, ["dossier", "key_id"]).join(centres.select("dossier", "class_id", "centre"), ["dossier", "class_id"])
     return pairs.where(_is_near(F.col("key"), F.col("centre"))).select("dossier", "key_id", "key", "class_id", "weight")
 
 
 def _met(offered: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of both that share a piece, are alike in length and counts; pieces of many rows are split.
+    """dossier, class_id, weight, id: rows of both that share a piece, are alike in length and counts; pieces of many rows are split.
 
-    offered: piece, m, counts, short and others; asked: piece, n, of_centre,
-    short_centre and others. Keys of up to ``SHORT`` letters are there as a whole
-    and compared at once.
+    offered: piece, m, counts, short, id; asked: piece, n, of_centre,
+    short_centre, dossier, class_id, weight. Keys of up to ``SHORT`` letters are
+    there as a whole and compared at once. A pair may occur under each piece.
     """
-    hot = small(offered.groupBy("piece").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT))
+    hot = small(written(offered.groupBy("piece").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT), "hot-pieces"))
     salts = F.coalesce(F.ceil(F.col("rows") / SPLIT), F.lit(1))
     asked = asked.join(hot, "piece", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).drop("rows")
     offered = offered.join(hot, "piece", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("rows")
-    near = _is_near(F.col("short"), F.col("short_centre"))
-    alike = (F.abs(F.col("n") - F.col("m")) <= 2) & _may_be_near(F.col("of_centre"), F.col("counts"))
-    return offered.join(asked, ["piece", "salt"]).where(alike & F.coalesce(near, F.lit(True)))
+    asked = asked.withColumnsRenamed({"of_centre": "counts", "short_centre": "short"}).withColumn("is_offered", F.lit(False))
+    offered = offered.withColumnRenamed("m", "n").withColumn("is_offered", F.lit(True))
+    rows = asked.unionByName(offered, allowMissingColumns=True).repartition("piece", "salt").sortWithinPartitions("piece", "salt", "is_offered", "n")
+    pairs = rows.mapInArrow(_pair_rows, "dossier bigint, class_id bigint, weight bigint, id bigint, short_centre string, short string")
+    return pairs.where(F.coalesce(_is_near(F.col("short"), F.col("short_centre")), F.lit(True))).drop("short", "short_centre")
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows of ``_met``, which come in order. The rows of a piece and salt are held until its last one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cut = int(np.flatnonzero(_begins(batch))[-1])
+        if cut or held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("piece", "salt")):
+            yield from _pairs([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    yield from _pairs(held)
+
+
+def _pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole pieces. Only where both texts are there but not settled here do they come with the pair; others come once for each id."""
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+        n, counts, offered = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "counts", "is_offered"))
+        texts = batch.column("short").is_valid().to_numpy(zero_copy_only=False)
+        letters, whole = _letters(batch.column("short"))
+        ids = batch.column("id").dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        for ai, oi in alike_pairs(np.cumsum(_begins(batch)), offered, n, counts):
+            sure = whole[ai] & whole[oi] & (np.minimum(n[ai], n[oi]) >= 6)
+            held = ~sure
+            held[sure] = two_slips(letters[ai[sure]], n[ai[sure]], letters[oi[sure]], n[oi[sure]])
+            ai, oi, sure = ai[held], oi[held], sure[held]
+            both = texts[ai] & texts[oi] & ~sure
+            once = np.unique(ai[~both] << 32 | ids[oi[~both]], return_index=True)[1]
+            asks = pa.array(np.arange(both.sum() + len(once)) < both.sum())
+            ai, oi = (pa.array(np.concatenate([x[both], x[~both][once]])) for x in (ai, oi))
+            columns = [batch.column(c).take(ai) for c in ("dossier", "class_id", "weight")] + [batch.column("id").take(oi)]
+            columns += [batch.column("short").take(pc.if_else(asks, i, None)) for i in (ai, oi)]
+            yield pa.RecordBatch.from_arrays(columns, ["dossier", "class_id", "weight", "id", "short_centre", "short"])
+
+
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of each of ``texts``, filled up with 0 to ``SHORT``, and which of them are of that many ASCII letters at most."""
+    full = texts.cast(pa.string()).fill_null("")
+    ends = np.frombuffer(full.buffers()[1], dtype=np.int32)[full.offset : full.offset + len(full) + 1].astype(np.int64)
+    size, data = np.diff(ends), np.frombuffer(full.buffers()[2] or b"", dtype=np.uint8)
+    whole = (size > 0) & (size <= SHORT)
+    out = np.zeros((len(full), SHORT), dtype=np.uint8)
+    held = np.arange(SHORT) < np.where(whole, size, 0)[:, None]
+    rows, place = np.nonzero(held)
+    out[held] = data[ends[rows] + place]
+    return out, whole & (out < 128).all(1)
+
+
+def two_slips(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether rows of letters of ``a`` and ``b``, ``n_a`` and ``n_b`` of up to 64, become equal by two slips or fewer.
+
+    For each number of slips and each shift of ``b`` against ``a``, the place in
+    ``a`` that is reached at most; the bits of ``wrong`` are the places that differ.
+    """
+    wide = np.zeros((len(b), SHORT + 4), dtype=np.uint8)
+    wide[:, 2 : SHORT + 2] = b
+    wrong = {d: np.packbits(a != wide[:, 2 + d : 2 + d + SHORT], axis=1, bitorder="little").view(np.uint64).ravel() for d in range(-2, 3)}
+
+    def on(d: int, at: np.ndarray) -> np.ndarray:
+        ahead = wrong[d] >> at
+        return np.minimum(at + np.bitwise_count((ahead & (~ahead + np.uint64(1))) - np.uint64(1)), np.uint64(SHORT))
+
+    one = np.uint64(1)
+    reached = {0: on(0, np.zeros(len(a), dtype=np.uint64))}
+    for _ in range(2):
+        last, reached = reached, {}
+        for d in range(min(last) - 1, max(last) + 2):
+            ways = [last[d + k] + step for k, step in ((1, one), (0, one), (-1, one - one)) if d + k in last]
+            reached[d] = on(d, np.maximum.reduce(ways))
+    shift = n_b.astype(np.int64) - n_a
+    return np.choose(np.clip(shift, -2, 2) + 2, [reached[d] for d in range(-2, 3)]) >= n_a.astype(np.uint64)
+
+
+def _begins(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows are the first of their piece and salt."""
+    out = np.ones(len(batch), dtype=bool)
+    out[1:] = False
+    for c in ("piece", "salt"):
+        column = batch.column(c).to_numpy()
+        out[1:] |= column[1:] != column[:-1]
+    return out
+
+
+def alike_pairs(groups: np.ndarray, offered: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of asked and of ``offered`` rows of one group whose lengths ``n`` differ by two at most and whose ``counts`` may be near.
+
+    The rows are in the order of groups, then asked ones first, then of lengths.
+    All pairs of an asked row come together.
+    """
+    asked, given = np.flatnonzero(~offered), np.flatnonzero(offered)
+    if not len(asked) or not len(given):
+        return
+    at = groups.astype(np.int64) * (int(n.max()) + 5) + n
+    first = np.searchsorted(at[given], at[asked] - 2, "left")
+    many = np.searchsorted(at[given], at[asked] + 2, "right") - first
+    ends = np.cumsum(many)
+    a = 0
+    while a < len(asked):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        each = many[a:b]
+        oi = given[np.arange(int(ends[b - 1]) - before) + np.repeat(first[a:b] - (ends[a:b] - each - before), each)]
+        ai = np.repeat(asked[a:b], each)
+        keep = may_be_near(counts[ai], counts[oi])
+        if keep.any():
+            yield ai[keep], oi[keep]
+        a = b
 
 
 def _rare_centres(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFrame:
@@ -184,16 +316,16 @@ def _rare_centres(keyed: DataFrame, gone: DataFrame, size: DataFrame) -> DataFra
     missed = third - 1
     own = own.where(sum(F.coalesce(F.col(f"of_piece{k}"), missed) for k in range(3)) >= F.col("needed"))
     own = written(own, "rare-keys")
-    asked = own.select("dossier", F.col("key_id").alias("class_id"), F.col("counts").alias("of_centre"), "n", "short_centre", F.explode(F.array_distinct(F.array_compact(F.array("piece0", "piece1", "piece2")))).alias("piece"))
-    offered = _offered(every, "doc", "counts", long.alias("m"), short.alias("short"))
-    offered = written(offered.join(hot.select("piece"), "piece"), "frequent-offers")
-    docs = _met(offered, asked).select("dossier", "class_id", "doc").distinct()
-    docs = docs.groupBy("dossier", "class_id").agg(F.count("doc").alias("docs"), F.bool_or(F.col("doc").isNull()).alias("beside"))
+    asked = own.select("dossier", F.col("key_id").alias("class_id"), F.lit(1).cast("bigint").alias("weight"), F.col("counts").alias("of_centre"), "n", "short_centre", F.explode(F.array_distinct(F.array_compact(F.array("piece0", "piece1", "piece2")))).alias("piece"))
+    offered = _offered(every, F.col("doc").alias("id"), "counts", long.alias("m"), short.alias("short"))
+    offered = written(offered.join(small(asked.select("piece").distinct(), 1_000_000), "piece"), "frequent-offers")
+    docs = _met(offered, asked).select("dossier", "class_id", "id").distinct()
+    docs = docs.groupBy("dossier", "class_id").agg(F.count("id").alias("docs"), F.bool_or(F.col("id").isNull()).alias("beside"))
     n_hot = sum(F.col(f"piece{k}").isNotNull().cast("int") for k in range(3))
     may = docs.join(own.select("dossier", F.col("key_id").alias("class_id"), "needed", n_hot.alias("n_hot")), ["dossier", "class_id"])
     may = may.where(F.col("beside") | (F.col("docs") + (3 - F.col("n_hot")) * missed >= F.col("needed")))
     may = small(written(may.select("dossier", F.col("class_id").alias("key_id")), "rare-centre-ids"))
-    found = rest.join(may, ["dossier", "key_id"]).groupBy("dossier", "key_id").agg(F.min("key").alias("centre"), F.min("counts").alias("counts"))
+    found = keyed.join(may, ["dossier", "key_id"]).groupBy("dossier", "key_id").agg(F.min("key").alias("centre"), F.min("counts").alias("counts"))
     return written(found.select("dossier", F.col("key_id").alias("class_id"), "centre", F.lit(1).cast("bigint").alias("weight"), "counts"), "rare-centres")
 
 
@@ -319,11 +451,8 @@ def repeated_lines(
     """
     of = documents.select("document_id", F.xxhash64("dossier_id").alias("dossier")).where("dossier_id is not null").distinct()
     spans = spans.where(F.col("location_kind").isin(*KINDS)).select("span_id", "document_id", "text").join(small(of, 500_000), "document_id")
-    spans = spans.select("dossier", F.xxhash64("document_id").alias("doc"), "span_id", looks(F.col("text"), bare=True).alias("text"))
-    spans = spans.withColumn("ascii_only", F.octet_length("text") == F.length("text"))
-    lines = spans.select("dossier", "doc", "span_id", "ascii_only", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("dossier", "doc", "span_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line"), F.col("ascii_only")).alias("key"))
-    lines = written(lines.withColumns({"key_id": F.xxhash64("key"), "counts": _counts(F.col("key"))}), "lines")
+    spans = spans.select("dossier", F.xxhash64("document_id").alias("doc"), "span_id", "text")
+    lines = written(keyed_lines(spans).withColumns({"key_id": F.xxhash64("key"), "counts": _counts(F.col("key"))}), "lines")
 
     size = lines.select("dossier", "doc").distinct().groupBy("dossier").agg(F.count("*").alias("of_docs"))
     size = size.select("dossier", F.greatest(F.lit(least), F.ceil(F.col("of_docs") * share)).alias("needed"))
